@@ -1,24 +1,54 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear model on hashed words is trained from confirmed toxic examples and unlabelled text only; no row counts as
+A linear model on hashed words and word beginnings is trained from confirmed toxic examples and unlabelled text only; no row counts as
 confirmed harmless. The risk of the unlabelled rows as negatives is corrected by the class prior, and where the
 corrected part turns negative (overfitting), the step follows its negative instead, as in non-negative PU learning.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .features import Buckets, words
+from .features import words
 
-BUCKETS = 1 << 17
+#: Buckets of whole words, and of word beginnings.
+WORDS, STEMS = 1 << 17, 1 << 17
+#: Lengths in bytes of the beginnings that count.
+LENGTHS = (4, 6, 8)
 #: Bounds of the samples that training takes: confirmed toxic rows and unlabelled rows.
-POSITIVES, UNLABELLED = 3000, 9000
+POSITIVES, UNLABELLED = 2500, 6000
+#: Features that the model uses at most, and how far (in standard errors) their mean among toxic rows must stand out.
+FEATURES, STANDS_OUT = 600, 4.0
+
+
+class Features(dict):
+    """Remembers the buckets of words, up to a bound."""
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) > 400_000:
+            self.clear()
+        self[word] = out = (zlib.crc32(word) % WORDS, *(WORDS + zlib.crc32(word[:k], k) % STEMS if len(word) >= k else -1 for k in LENGTHS))
+        return out
+
+    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets and values of a text: 1 for each word that occurs; for beginnings their share of the words, in per cent, up to 2."""
+        counts = Counter(words(text))
+        if not counts:
+            return np.empty(0, np.int32), np.empty(0, np.float32)
+        ids = np.fromiter(chain.from_iterable(map(self.__getitem__, counts)), np.int32, len(counts) * (1 + len(LENGTHS))).reshape(len(counts), -1)
+        n = np.fromiter(counts.values(), np.float64, len(counts))
+        stems, at = np.unique(ids[:, 1:], return_inverse=True)
+        share = np.minimum(2, 100 / n.sum() * np.bincount(at.ravel(), np.repeat(n, len(LENGTHS)), len(stems)))
+        seen, known = np.unique(ids[:, 0]), stems >= 0
+        return np.concatenate((seen, stems[known])), np.concatenate((np.ones(len(seen)), share[known])).astype(np.float32)
 
 
 @dataclass
@@ -27,53 +57,68 @@ class Model:
     bias: float
     prior: float
 
-    def scores(self, ids: list[np.ndarray]) -> np.ndarray:
-        """Probability of each document, given the buckets of its distinct words; no words: by the bias alone."""
-        if not ids:
-            return np.empty(0)
-        sizes = np.array([len(x) for x in ids])
-        flat = np.concatenate([np.append(x, BUCKETS) for x in ids])  # a zero weight for each, so that none is empty
-        sums = np.add.reduceat(np.append(self.weight, 0.0)[flat], np.concatenate(([0], np.cumsum(sizes[:-1] + 1))))
-        return 1 / (1 + np.exp(-np.clip(sums + self.bias, -30, 30)))
+    def scores(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Probability of each row of (buckets, values); nothing known of it: by the bias alone."""
+        z = np.array([self.weight[ids] @ values for ids, values in rows], np.float64) + self.bias
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def unknown(prior: float) -> Model:
+    prior = min(max(prior, 1e-3), 1 - 1e-3)
+    return Model(np.zeros(WORDS + STEMS, np.float32), float(np.log(prior / (1 - prior))), prior)
+
+
+def standing_out(positive: list[tuple], unlabelled: list[tuple]) -> np.ndarray:
+    """The features whose mean among the confirmed rows exceeds that of the unlabelled ones most, in standard errors."""
+    size = WORDS + STEMS
+
+    def sums(rows):
+        first, second = np.zeros(size), np.zeros(size)
+        for ids, v in rows:
+            first[ids] += v
+            second[ids] += v.astype(np.float64) ** 2
+        return first / len(rows), second / len(rows)
+
+    (p, _), (u, uu) = sums(positive), sums(unlabelled)
+    z = (p - u) / np.sqrt((np.maximum(uu - u * u, 0) + 1 / len(unlabelled)) / len(positive))
+    best = np.argsort(-z, kind="stable")[:FEATURES]
+    return np.sort(best[z[best] >= STANDS_OUT])
 
 
-def word_sets(texts, buckets: Buckets) -> list[np.ndarray]:
-    return [np.unique(np.fromiter((buckets[w] for w in set(words(t))), np.int64)) for t in texts]
+def fit(positive: list[tuple], unlabelled: list[tuple], prior: float, epochs: int = 300, rate: float = 0.2, decay: float = 1e-4) -> Model:
+    """Non-negative PU learning with the logistic loss and full-batch Adagrad steps. prior: share of toxic rows."""
+    used = standing_out(positive, unlabelled)
+    if not used.size:
+        return unknown(prior)
 
+    def dense(rows):
+        out = np.zeros((len(rows), len(used)), np.float32)
+        for row, (ids, v) in zip(out, rows):
+            at = np.minimum(np.searchsorted(used, ids), len(used) - 1)
+            own = used[at] == ids
+            row[at[own]] = v[own]
+        return out
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 60, batch: int = 512, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Non-negative PU learning with the logistic loss and Adagrad steps. prior: share of toxic rows among all."""
-    rng = np.random.default_rng(seed)
-    w, bias = np.zeros(BUCKETS), np.log(prior / (1 - prior))
-    square, square_bias = np.full(BUCKETS, 1e-8), 1e-8
-    n_u = len(unlabelled)
+    x_p, x_u = dense(positive), dense(unlabelled)
+    w, bias = np.zeros(len(used), np.float32), float(np.log(prior / (1 - prior)))
+    square, square_bias = np.full(len(used), 1e-8), 1e-8
     for _ in range(epochs):
-        order = rng.permutation(n_u)
-        for at in range(0, n_u, batch):
-            u = [unlabelled[i] for i in order[at : at + batch]]
-            p = [positive[i] for i in rng.integers(0, len(positive), max(1, batch // 4))]
-            rows = p + u
-            sizes = np.array([len(x) for x in rows])
-            row = np.repeat(np.arange(len(rows)), sizes)
-            flat = np.concatenate(rows) if sizes.sum() else np.empty(0, np.int64)
-            z = np.bincount(row, w[flat], len(rows)) + bias
-            s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))  # d/dz of the loss as a negative is s, as a positive s - 1
-            k = len(p)
-            negative_loss = np.logaddexp(0, z)
-            rest = negative_loss[k:].mean() - prior * negative_loss[:k].mean()
-            g = np.empty(len(rows))
-            if rest >= 0:
-                g[:k] = prior * (s[:k] - 1) / k - prior * s[:k] / k
-                g[k:] = s[k:] / len(u)
-            else:
-                g[:k], g[k:] = prior * s[:k] / k, -s[k:] / len(u)
-            grad = np.bincount(flat, g[row], BUCKETS) + decay * w
-            square += grad * grad
-            w -= rate * grad / np.sqrt(square)
-            gb = g.sum()
-            square_bias += gb * gb
-            bias -= rate * gb / np.sqrt(square_bias)
-    return Model(w, float(bias), prior)
+        z_p, z_u = x_p @ w + bias, x_u @ w + bias
+        s_p, s_u = (1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (z_p, z_u))  # d/dz of the loss as a negative; as a positive s - 1
+        rest = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
+        g_p, g_u = (-prior / len(s_p)) * s_p, s_u / len(s_u)
+        if rest >= 0:
+            g_p = g_p + prior * (s_p - 1) / len(s_p)
+        else:
+            g_p, g_u = -g_p, -g_u
+        grad, grad_bias = x_p.T @ g_p + x_u.T @ g_u + decay * w, float(g_p.sum() + g_u.sum())
+        square += grad * grad
+        square_bias += grad_bias**2
+        w -= (rate * grad / np.sqrt(square)).astype(np.float32)
+        bias -= rate * grad_bias / np.sqrt(square_bias)
+    weight = np.zeros(WORDS + STEMS, np.float32)
+    weight[used] = w
+    return Model(weight, bias, prior)
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
@@ -86,24 +131,23 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, positives: int = P
     marked = labels.where(usable & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = marked.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n or not toxic or toxic == n:
-        share = min(max(toxic / n if n else 0.0, 1e-3), 1 - 1e-3)
-        return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))), share)
+        return unknown(toxic / n if n else 0)
     order = F.xxhash64("doc_id")
     chosen = marked.where("toxic = 1").orderBy(order).limit(positives).select("doc_id", F.lit(1).alias("p"))
     chosen = chosen.unionByName(marked.orderBy(order).limit(unlabelled).select("doc_id", F.lit(0).alias("p")))
 
-    def run(batches):  # only distinct hashed words go to the driver
-        buckets = Buckets(BUCKETS)
+    def run(batches):  # only hashed features go to the driver, about 4 KB a row
+        features = Features()
         for batch in batches:
-            sets = [x.astype(np.int32) for x in word_sets(batch.column(1).to_pylist(), buckets)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], ["p", "ids"])
+            rows = [features.of(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v in rows], pa.binary())], ["h", "p", "ids", "v"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("p", "text").mapInArrow(run, "p int, ids binary").toArrow()
-    p, ids = rows.column(0).to_pylist(), [np.frombuffer(x, np.int32).astype(np.int64) for x in rows.column(1).to_pylist()]
-    positive, rest = [x for x, k in zip(ids, p) if k], [x for x, k in zip(ids, p) if not k]
-    if not positive or not rest:
-        return Model(np.zeros(BUCKETS), float(np.log(toxic / n / (1 - toxic / n))), toxic / n)
-    return fit(positive, rest, toxic / n)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(order.alias("h"), "p", "text").mapInArrow(run, "h bigint, p int, ids binary, v binary")
+    got = rows.toArrow().sort_by([("h", "ascending"), ("ids", "ascending")])
+    p = got.column("p").to_pylist()
+    both = [(np.frombuffer(x, np.int32), np.frombuffer(v, np.float32)) for x, v in zip(got.column("ids").to_pylist(), got.column("v").to_pylist())]
+    positive, rest = [x for x, k in zip(both, p) if k], [x for x, k in zip(both, p) if not k]
+    return fit(positive, rest, toxic / n) if positive and rest else unknown(toxic / n)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,9 +156,9 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        buckets, model = Buckets(BUCKETS), shared.value
+        features, model = Features(), shared.value
         for batch in batches:
-            out = [model.scores(word_sets(batch.column(1).slice(i, 256).to_pylist(), buckets)) for i in range(0, batch.num_rows, 256)]
+            out = [model.scores([features.of(t) for t in batch.column(1).slice(i, 256).to_pylist()]) for i in range(0, batch.num_rows, 256)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.empty(0))], ["key", "score"])
 
     scored = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, score double")
