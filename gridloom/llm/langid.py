@@ -78,7 +78,7 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 class Model:
     languages: list[str]
     alphabet: dict[int, int]  # code point to column; column 0: no letter, 1: other letters
-    table: np.ndarray  # (next state's row start * 2) + (1 if a phrase ends before this character)
+    table: np.ndarray  # (next state's row start * 4) + (phrases that this character ends: the one before it, and its own)
     roots: np.ndarray
     bits: np.ndarray  # log2 of each language's text length
 
@@ -108,8 +108,8 @@ class Model:
         count = np.ones((len(self.languages), len(blocks)), np.int32)
         for t, a in enumerate(active.tolist()):
             e = self.table.take(state[:, :a] + grid[t, :a])
-            count[:, :a] += e & 1
-            state[:, :a] = e >> 1
+            count[:, :a] += e & 3
+            state[:, :a] = e >> 2
         owner = np.array([blocks[b][0] for b in order.tolist()])
         for k in range(len(self.languages)):
             out[k] = np.bincount(owner, count[k], len(texts))
@@ -156,11 +156,13 @@ def build(samples: dict[str, list[str]], chars: int = CHARS) -> Model:
         ends = next_state < 0
         root = np.where(next_state[0] < 0, 0, next_state[0])  # a letter that the language lacks is a phrase of its own
         next_state = np.where(ends, root[None, :], next_state)
-        tables.append(((next_state + base) * model.width * 2 + ends).ravel())
+        ended = ends.astype(np.int64)
+        ended[1:, root == 0] *= 2
+        tables.append(((next_state + base) * model.width * 4 + ended).ravel())
         roots.append(base * model.width)
         bits.append(np.log2(max(2, len(codes))))
         base += len(step)
-    kind = np.int32 if base * model.width * 2 < 2**31 else np.int64
+    kind = np.int32 if base * model.width * 4 < 2**31 else np.int64
     model.table = np.concatenate(tables).astype(kind) if tables else np.empty(0, kind)
     model.roots, model.bits = np.array(roots, kind), np.array(bits)
     return model

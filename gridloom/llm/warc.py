@@ -58,8 +58,7 @@ def archive(pages: DataFrame, key: str = "page_id", payload: str = "html", url:
     """Write a record for each row of pages.
 
     Null payloads count as empty; empty payloads equal each other. Null URLs are written as empty, and white space in a
-    URL is percent-encoded. Rows that repeat a key and payload become one response and no revisit of itself: they are
-    one record. Null keys can't name a record; such rows are left out. Other columns are ignored. The hash is
+    URL is percent-encoded. Rows that repeat a key become one record, that of the largest digest. Null keys can't name a record; such rows are left out. Other columns are ignored. The hash is
     verified: equal digests of different length stop the write.
     """
     spark = pages.sparkSession
@@ -67,7 +66,7 @@ def archive(pages: DataFrame, key: str = "page_id", payload: str = "html", url:
     body = text_or_empty(payload).cast("binary")
     digest = F.unhex(F.sha2(body, 256))
     rows = pages.where(F.col(key).isNotNull())
-    keys = staged(rows.select(F.col(key).alias("page"), text_or_empty(url).alias("url"), digest.alias("digest"), F.octet_length(body).cast("bigint").alias("n"), base32_sha1(body).alias("sha1")).dropDuplicates(["page"]), "keys")
+    keys = staged(rows.select(F.col(key).alias("page"), text_or_empty(url).alias("url"), digest.alias("digest"), F.octet_length(body).cast("bigint").alias("n"), base32_sha1(body).alias("sha1")).groupBy("page").agg(F.max(F.struct("digest", "url", "n", "sha1")).alias("k")).select("page", "k.*"), "keys")
     kept = staged(keys.groupBy("digest").agg(F.max("page").alias("first"), F.min("n").alias("n_min"), F.max("n").alias("n_max")), "first")
     kept = kept.select("digest", "first", F.when(F.col("n_min") == F.col("n_max"), F.col("n_max")).otherwise(F.raise_error(F.lit("two payloads share a SHA-256"))).alias("size"))
     marked = keys.join(kept, "digest")
@@ -85,7 +84,7 @@ def archive(pages: DataFrame, key: str = "page_id", payload: str = "html", url:
     # Copies are the smaller part of pages: leaving them out moves no payloads where a count shows that they are few.
     copies = small(staged(marked.where(~response).select("page"), "copies"))
     unique = rows.select(F.col(key).alias("page"), digest.alias("digest"), body.alias("payload")).join(copies, "page", "left_anti").select("digest", "payload")
-    unique.repartition(buckets, "digest").write.format("parquet").option("path", new_path(spark, "payloads")).bucketBy(buckets, "digest").sortBy("digest").saveAsTable(name)
+    unique.repartition(buckets, "digest").dropDuplicates(["digest"]).write.format("parquet").option("path", new_path(spark, "payloads")).bucketBy(buckets, "digest").sortBy("digest").saveAsTable(name)
     return Archive(spark, headers, name)
 
 
