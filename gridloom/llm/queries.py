@@ -103,4 +103,9 @@ ORACLE = {
         WITH d AS (SELECT doc_id, sha256({_TEXT}) AS h FROM documents),
         g AS (SELECT h, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM d JOIN g USING (h)""",
+    "op8_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages), h AS (SELECT *, sha1(body) AS hex FROM p),
+        d AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST(concat('0x', substr(hex, CAST(i // 4 * 5 + 1 AS BIGINT), 5)) AS BIGINT) >> CAST(15 - i % 4 * 5 AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest FROM h),
+        g AS (SELECT body, max(page_id) AS last FROM p GROUP BY body)
+        SELECT page_id, CAST(strlen(d.body) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM d JOIN g USING (body)""",
 }
