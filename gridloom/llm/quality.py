@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -21,18 +22,22 @@ from .features import Buckets, shapes, words
 BUCKETS, SHAPES, RANK, NEIGHBOURS = 1 << 15, 1 << 12, 48, 25
 #: Bound of the sample of labelled rows that the space and the neighbours come from.
 LABELLED = 4000
-#: What a shape counts against a word.
-SHAPE_WEIGHT = 3.0
+#: What a shape counts against a word, and how often the share of repeated triples counts.
+SHAPE_WEIGHT, REPEATS = 3.0, 20
 
 
 class Counts:
-    """Bucket counts of a text: words in the first BUCKETS, shapes after them."""
+    """Bucket counts of a text: words in the first BUCKETS; after them shapes, and how far the text repeats itself."""
 
     def __init__(self):
         self.word, self.shape = Buckets(BUCKETS), Buckets(SHAPES, 1)
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        w, s = Counter(words(text)), Counter(shapes(text))
+        own = words(text)
+        w, s = Counter(own), Counter(shapes(text))
+        if len(own) > 2:  # tenths of the word triples that repeat an earlier one
+            s[b"\0%d" % (10 - 10 * len(set(zip(own, own[1:], own[2:]))) // (len(own) - 2))] = REPEATS
+            s[b"\1%d" % (10 * sum(map(eq, own, own[1:])) // len(own))] = REPEATS  # tenths of the words that repeat the one before
         ids = np.fromiter((*map(self.word.__getitem__, w), *(BUCKETS + self.shape[x] for x in s)), np.int64, len(w) + len(s))
         return ids, np.fromiter((*w.values(), *s.values()), np.float32, len(w) + len(s))
 
