@@ -189,7 +189,7 @@ def models_with_placements(spark, d):
     return placements.placed_models(S.models(spark, d), S.placements(spark, d)).select("guid", "size", "file")
 
 
-@query(f"WITH {S.PLACEMENTS}, {S.MODELS_TWICE}, {S.REFS} SELECT tile, guid, size, file, row_number() OVER (PARTITION BY tile ORDER BY size DESC, guid, file) AS rank FROM refs")
+@query(f"WITH {S.PLACEMENTS}, {S.MODELS_TWICE}, {S.REFS} SELECT tile, guid, size, file, CAST(row_number() OVER (PARTITION BY tile ORDER BY size DESC, guid, file) AS INTEGER) AS rank FROM refs")
 def model_refs_by_tile(spark, d):
     refs = placements.model_refs(S.models(spark, d, True), S.placements(spark, d))
     return placements.ranked_refs(refs, "guid", "file").select("tile", "guid", "size", "file", "rank")
@@ -353,12 +353,12 @@ def list_triangles(spark, d):
     return scene.list_triangles(_supplier_refs(spark, d), "s_nationkey", "s_suppkey", "s_suppkey")
 
 
-@query(f"WITH {_REF} SELECT s_nationkey, i AS tid, v AS a, CASE WHEN i % 2 = 1 THEN n2 ELSE n1 END AS b, CASE WHEN i % 2 = 1 THEN n1 ELSE n2 END AS c FROM rows WHERE n2 IS NOT NULL")
+@query(f"WITH {_REF} SELECT s_nationkey, CAST(i AS INTEGER) AS tid, v AS a, CASE WHEN i % 2 = 1 THEN n2 ELSE n1 END AS b, CASE WHEN i % 2 = 1 THEN n1 ELSE n2 END AS c FROM rows WHERE n2 IS NOT NULL")
 def strip_triangles(spark, d):
     return scene.strip_triangles(_supplier_refs(spark, d), "s_nationkey", "s_suppkey", "s_suppkey")
 
 
-@query(f"WITH {_REF} SELECT s_nationkey, i - 1 AS tid, v0 AS a, v AS b, n1 AS c FROM rows WHERE i >= 1 AND n1 IS NOT NULL")
+@query(f"WITH {_REF} SELECT s_nationkey, CAST(i - 1 AS INTEGER) AS tid, v0 AS a, v AS b, n1 AS c FROM rows WHERE i >= 1 AND n1 IS NOT NULL")
 def fan_triangles(spark, d):
     return scene.fan_triangles(_supplier_refs(spark, d), "s_nationkey", "s_suppkey", "s_suppkey")
 
@@ -386,7 +386,7 @@ def material_dedupe(spark, d):
 @query(
     f"""WITH {S.PLACEMENTS}, v AS (SELECT tile, l_orderkey * 10 + l_linenumber AS seq, CAST(round_even(lon * 100, 0) AS INTEGER) AS qx, CAST(round_even(lat * 100, 0) AS INTEGER) AS qy, min(l_partkey) AS part FROM placements GROUP BY ALL),
     u AS (SELECT tile, seq, min(qx) AS qx, min(qy) AS qy, min(part) AS part FROM v GROUP BY tile, seq), k AS (SELECT tile, qx, qy, min(seq) AS seen, arg_min(part, seq) AS part FROM u GROUP BY tile, qx, qy)
-    SELECT *, row_number() OVER (PARTITION BY tile ORDER BY seen) - 1 AS vertex FROM k"""
+    SELECT *, CAST(row_number() OVER (PARTITION BY tile ORDER BY seen) - 1 AS INTEGER) AS vertex FROM k"""
 )
 def vertex_dedupe(spark, d):
     p = S.placements(spark, d).select("tile", F.expr("l_orderkey * 10 + l_linenumber").alias("seq"), scalars.quantise(c("lon"), 100.0).alias("qx"), scalars.quantise(c("lat"), 100.0).alias("qy"), c("l_partkey").alias("part"))
