@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import small
+
 BLOCK = 1024
 #: Bounds of the labelled sample: rows a language (whole texts), and the text length at which its automaton is full.
 ROWS, CHARS = 60, 24_000
@@ -178,7 +180,7 @@ def train(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang
     usable_rows = docs.where(usable & F.col(lang).isNotNull() & size.between(1, chars))
     ids = usable_rows.select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.xxhash64(key).alias("h"))
     ids = ids.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= rows).select("lang", "key", "h").distinct()
-    picked = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(ids), ["key", "lang"])
+    picked = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(small(ids), ["key", "lang"])
     samples: dict[str, list[str]] = {}
     for r in picked.select("lang", "h", "text").orderBy("lang", "h", "text").toLocalIterator():
         if r.text and len(r.text) <= chars:

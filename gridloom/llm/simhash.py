@@ -273,15 +273,15 @@ def connected(edges: DataFrame) -> DataFrame:
     up = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     while True:
         both = up.unionByName(up.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
+        # Minima are written, so that both sides of a join are plain shuffles and Spark can split the partition of a hub.
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = staged(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        lower = staged(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
+        out = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(lower.select("u", F.col("m").alias("v"))).distinct()
         out = staged(out, "small")
         same = up.count() == out.count() and out.join(up, ["u", "v"], "left_anti").limit(1).count() == 0
-        discard(up, large)
+        discard(up, large, least, lower)
         up = out
         if same:
             return up.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -298,7 +298,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     found = staged(links(reps, radius), "links")
     roots = connected(found)
     classes = staged(reps.join(roots, reps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
-    named = classes.join(classes.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    named = staged(named, "components")
-    discard(found, reps, classes)
+    firsts = staged(classes.groupBy("root").agg(F.min("first").alias("component_id")), "firsts")
+    named = staged(classes.join(firsts, "root").select("fp", "component_id"), "components")
+    discard(found, reps, classes, firsts)
     return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")

@@ -153,9 +153,12 @@ def brute_overlaps(texts, items):
     out = {}
     for i, t in enumerate(texts):
         words = split(t)
+        whole = shingle_bag(words)
         for j, item in enumerate(items):
             b = shingle_bag(split(item))
             s, best = sum(b.values()), 0
+            if sum((b & whole).values()) < 0.8 * s:  # no window can hold more of the item than the whole text does
+                continue
             for at in range(max(1, len(words) - 4)):
                 a = shingle_bag(words[at : at + s + 4]) if len(words) >= 5 else shingle_bag(words)
                 union = sum((a | b).values())
