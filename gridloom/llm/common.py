@@ -15,12 +15,15 @@ SPACES = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1_000_000
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from spark.checkpoint.dir; a temporary one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        application = spark.sparkContext.applicationId
+        base = _own[application] = _own.get(application) or "file://" + tempfile.mkdtemp(prefix="gridloom-")
     return base.rstrip("/")
 
 
