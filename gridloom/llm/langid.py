@@ -152,15 +152,16 @@ def build(samples: dict[str, list[str]], chars: int = CHARS) -> Model:
     for language in model.languages:
         codes = squeeze(np.concatenate([np.append(encoder[p], 0) for p in points[language]])).tolist()
         step = suffix_automaton(codes)
-        next_state = np.full((len(step), model.width), -1, np.int64)
+        next_state = np.full((len(step), model.width), -1, np.int32)
         for s, to in enumerate(step):
             next_state[s, list(to)] = list(to.values())
         ends = next_state < 0
-        root = np.where(next_state[0] < 0, 0, next_state[0])  # a letter that the language lacks is a phrase of its own
+        root = np.maximum(next_state[0], 0)  # a letter that the language lacks is a phrase of its own
         next_state = np.where(ends, root[None, :], next_state)
-        ended = ends.astype(np.int64)
+        ended = ends.astype(np.int8)
         ended[1:, root == 0] *= 2
-        tables.append(((next_state + base) * model.width * 4 + ended).ravel())
+        wide = next_state.astype(np.int32 if (base + len(step)) * model.width * 4 < 2**31 else np.int64)
+        tables.append(((wide + base) * (model.width * 4) + ended).ravel())
         roots.append(base * model.width)
         bits.append(np.log2(max(2, len(codes))))
         base += len(step)
