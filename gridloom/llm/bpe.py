@@ -9,7 +9,8 @@ a bound.
 from __future__ import annotations
 
 import base64
-import heapq
+from array import array
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens that a worker remembers (about 150 bytes each), and the longest that it remembers.
-MEMO, MEMO_CHARS = 300_000, 64
+MEMO, MEMO_CHARS = 500_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -90,36 +91,34 @@ class PerfectHash:
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a byte string by merging the adjacent pair of the lowest rank, leftmost first, until none is a token."""
-    n = len(piece)
-    end = list(range(1, n + 1))  # a part starts at i and ends at end[i]; the next one starts there
-    before = list(range(-1, n - 1))
-    rank_at: list[int | None] = [None] * n
-    heap: list[tuple[int, int]] = []
-
-    def offer(i: int) -> None:
-        j = end[i]
-        r = rank_at[i] = ranks.get(piece[i : end[j]]) if j < n else None
-        if r is not None:
-            heapq.heappush(heap, (r, i))
-
-    for i in range(n):
-        offer(i)
-    alive = [True] * n
+    n, get = len(piece), ranks.get
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a part starts at i; the next one starts at after[i]
+    # Rank of the pair that starts at i; none for the last part and for those that are merged away.
+    rank = [get(piece[i : i + 2]) for i in range(n - 1)]
+    rank.append(None)
+    heap = [r * n + i for i, r in enumerate(rank) if r is not None]  # one number: by rank, then by place
+    heapify(heap)
     while heap:
-        r, i = heapq.heappop(heap)
-        if not alive[i] or rank_at[i] != r:
+        r, i = divmod(heappop(heap), n)
+        if rank[i] != r:  # an entry that a merge has made stale
             continue
-        j = end[i]
-        alive[j], end[i] = False, end[j]
-        if end[i] < n:
-            before[end[i]] = i
-        offer(i)
-        if before[i] >= 0:
-            offer(before[i])
+        j = after[i]
+        end = after[i] = after[j]
+        rank[j] = rank[i] = None
+        if end < n:
+            before[end] = i
+            r = rank[i] = get(piece[i : after[end]])
+            if r is not None:
+                heappush(heap, r * n + i)
+        h = before[i]
+        if h >= 0:
+            r = rank[h] = get(piece[h:end])
+            if r is not None:
+                heappush(heap, r * n + h)
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i : end[i]]])
-        i = end[i]
+        out.append(ranks[piece[i : after[i]]])
+        i = after[i]
     return out
 
 
@@ -136,27 +135,29 @@ class Encoder:
         self.token = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.token[rank] = token
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
 
-    def resolve(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of every distinct piece, new ones by the two tiers."""
+    def resolve(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids (as int32 bytes) of every distinct piece, new ones by the two tiers."""
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        new = [p for p in set(pieces) if p not in memo]
+        new = [p for p in pieces if p not in memo]
         if not new:
             return memo
         raw = [p.encode("utf-8") for p in new]
-        found = {p: (i,) if i >= 0 else tuple(merge(b, self.ranks)) for p, b, i in zip(new, raw, self.hash.lookup(raw))}
+        found = {p: array("i", (i,) if i >= 0 else merge(b, self.ranks)).tobytes() for p, b, i in zip(new, raw, self.hash.lookup(raw))}
         if max(map(len, new)) > MEMO_CHARS:
             memo.update((p, ids) for p, ids in found.items() if len(p) <= MEMO_CHARS)
             return memo | found
         memo.update(found)
         return memo
 
-    def encode(self, text: str) -> np.ndarray:
-        pieces = self.find(text)
-        return np.fromiter(chain.from_iterable(map(self.resolve(pieces).__getitem__, pieces)), np.int32)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        pieces = [self.find(t) for t in texts]
+        ids = self.resolve(set(chain.from_iterable(pieces))).__getitem__
+        return [np.frombuffer(b"".join(map(ids, own)), np.int32) for own in pieces]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -187,9 +188,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     def run(batches):
         enc = held_encoder(shared, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # bounds what is held of one batch
-                part = batch.slice(at, 256)
-                ids = [enc.encode(t or "") for t in part.column(len(keep)).to_pylist()]
+            for at in range(0, batch.num_rows, 64):  # bounds what is held of one batch
+                part = batch.slice(at, 64)
+                ids = enc.encode([t or "" for t in part.column(len(keep)).to_pylist()])
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.ListArray.from_arrays(pa.array(offsets), flat)], [*keep, out])

@@ -31,9 +31,9 @@ def write_flat(docs: DataFrame, path: str, ranks: dict[bytes, int], pattern: str
     def run(batches):
         enc = held_encoder(shared, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                texts = batch.column(0).slice(at, 256).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([enc.encode(t or "").astype(f"<u{width}").tobytes() for t in texts], pa.binary())], ["value"])
+            for at in range(0, batch.num_rows, 64):
+                texts = [t or "" for t in batch.column(0).slice(at, 64).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([ids.astype(f"<u{width}").tobytes() for ids in enc.encode(texts)], pa.binary())], ["value"])
 
     flat = docs.select(F.col(text).alias("text")).mapInArrow(run, "value binary").select(F.col("value").cast("string"))
     flat.write.option("encoding", "ISO-8859-1").option("lineSep", separator.to_bytes(width, "little").decode("latin-1")).text(path)
