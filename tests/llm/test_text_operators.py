@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, common, decontam, exact_dedup, langid, quality, simhash, token_counts, toxicity, warc
+from gridloom.llm import bpe, chat, common, decontam, exact_dedup, langid, minhash, quality, simhash, token_counts, toxicity, warc
 from gridloom.llm.queries import SEPARATOR, tokenizer
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, key int, fp int, digest int, rows int, ids int, score int, h int"
@@ -139,6 +139,46 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+# Near copies
+
+
+def brute_near(texts, k=5):
+    """Index of the first member of each text's component under exact Jaccard similarity of 0.8 or more."""
+    def shingles(t):
+        w = t.translate({c: c + 32 for c in range(65, 91)}).split()
+        return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+    sets, root = [shingles(t or "") for t in texts], list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("short, block", [(32, 2048), (2, 5)])
+def test_near_copies(spark, monkeypatch, short, block):
+    import corpus_pipeline
+
+    monkeypatch.setattr(minhash, "SHORT", short)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng, texts = random.Random(3), list(ODD)
+    for n in (6, 40, 90, 200, 400):
+        base = [rng.choice("abcdefgh") + str(rng.randrange(999)) for _ in range(n)]
+        for c in range(12):
+            copy = list(base)
+            for at in rng.sample(range(n), n * (c % 4) // 100):
+                copy[at] = "changed"
+            texts.append(" ".join(copy[c % 5 :]))
+    want, d = brute_near(texts), docs(spark, texts)
+    got = {r.doc_id: r.component_id for r in minhash.near_copies(d).collect()}
+    assert got == dict(enumerate(want)) and len(set(want)) < len(want) - 20
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, d, "").collect()}
+    assert kept == {i for i, r in enumerate(want) if i == r}
+    assert minhash.near_copies(docs(spark, [])).count() == 0
+
+
 # Benchmark decontamination
 
 
