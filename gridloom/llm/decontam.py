@@ -1,8 +1,9 @@
 """Benchmark decontamination by SimHash over item-sized windows. DataFrame functions only.
 
 Words are the runs of letters and digits in lower case; shingles have K words. For each benchmark item of S shingles,
-windows of S shingles are considered at every position of a document where enough shared shingles start: a similarity
-of 0.8 between equal-sized bags needs 8/9 of S in common, so no other window can match. Each such window gets a
+windows of S shingles, fewer at the end of the text, are considered at every position of a document where enough shared
+shingles start: a similarity of 0.8 needs 0.8 of S in common, so no other window can match (whole windows need 8/9, those
+that the end cuts off need less). Items of fewer than K words are looked up as they are. Each window gets a
 SimHash; a multi-index over RADIUS + 1 blocks of its bits finds every item fingerprint within RADIUS; and the exact
 weighted Jaccard similarity (shingles weighted by their counts) decides.
 
@@ -42,6 +43,15 @@ def shingles(text: str | Column, k: int = K) -> Column:
     return let(F.transform(words(text), lambda w: F.xxhash64(w)), of)
 
 
+def runs_of(text: str | Column, n: int) -> Column:
+    """Hashes of each n words in a row, equal to the shingle of a text that has these words alone."""
+
+    def of(h: Column) -> Column:
+        return F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - (n - 1), F.lit(0))), lambda x, i: F.xxhash64(F.lit("short"), F.array_join(F.slice(h, i + 1, n).cast("array<string>"), " ")))
+
+    return let(F.transform(words(text), lambda w: F.xxhash64(w)), of)
+
+
 def fingerprint(sh: Column) -> Column:
     """64-bit SimHash of an array of hashes: a bit is set if it is in over half of them."""
     bit = lambda b: F.aggregate(sh, F.lit(0), lambda a, x: a + F.call_function("shiftright", x, b).bitwiseAND(F.lit(1)).cast("int"))
@@ -66,11 +76,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 
     start is the first shingle (its word) of the best window, the earliest among equals; size counts its shingles. Null
     and empty texts contain nothing, and items without a word match nothing. Items shorter than k words count as one
-    shingle. Rows that repeat a key are taken as one document's alternatives: the best window of any of them counts.
+    shingle of their own length and match where a text holds just these words in order. Rows that repeat a key are taken as one document's alternatives: the best window of any of them counts.
     Null keys are kept apart from every other and reported under null. Other columns are ignored.
     """
-    items = benchmark.select(F.col(item).alias("item"), shingles(item_text, k).alias("sh")).where(F.size("sh") > 0).distinct()
-    items = items.withColumn("s", F.size("sh")).withColumn("need", F.ceil(2 * threshold / (1 + threshold) * F.col("s") - 1e-9).cast("int"))
+    items = benchmark.select(F.col(item).alias("item"), F.size(words(item_text)).alias("n"), shingles(item_text, k).alias("sh")).where(F.size("sh") > 0).distinct()
+    short = staged(items.where(F.col("n") < k).select("item", "n", F.get("sh", F.lit(0)).alias("h")), "short")
+    items = items.where(F.col("n") >= k).select("item", "sh")
+    # A window cut off by the end has m < s shingles; c of them shared give c / (m + s - c) <= c / s.
+    items = items.withColumn("s", F.size("sh")).withColumn("need", F.ceil(threshold * F.col("s") - 1e-9).cast("int"))
     items = staged(items.withColumn("ifp", fingerprint(F.col("sh"))), "items")
     vocabulary = small(items.select("item", "s", "need", F.explode("sh").alias("h")).distinct(), BROADCAST_ROWS)
     spread = docs.select(F.col(key).alias("key"), F.posexplode_outer(shingles(text, k)).alias("pos", "h"))
@@ -99,6 +112,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     common = let(bag(F.col("ish")), lambda theirs: shared(F.col("w"), theirs))
     scored = pairs.select("key", "item", "s", "pos", F.size("w").alias("size"), common.alias("common"))
     scored = scored.withColumn("similarity", F.col("common") / (F.col("size") + F.col("s") - F.col("common"))).where(F.col("similarity") >= threshold - 1e-12)
+    for n in sorted(r.n for r in short.select("n").distinct().collect()):
+        runs = docs.select(F.col(key).alias("key"), F.posexplode(runs_of(text, n)).alias("pos", "h"))
+        same = runs.join(small(short.where(F.col("n") == n).select("item", "h")), "h")
+        scored = scored.unionByName(same.select("key", "item", F.lit(1).alias("s"), "pos", F.lit(1).alias("size"), F.lit(1).alias("common"), F.lit(1.0).alias("similarity")))
     best = scored.groupBy("key", "item").agg(F.max(F.struct("similarity", (-F.col("pos")).alias("back"), "size")).alias("m"))
     return best.select(F.col("key").alias(key), F.col("item").alias(item), (-F.col("m.back")).alias("start"), "m.similarity", "m.size")
 

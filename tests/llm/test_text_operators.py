@@ -235,6 +235,25 @@ def test_overlaps(spark):
     assert decontam.contaminated(docs(spark, texts), bench).count() == len({i for i, _ in want})
 
 
+def test_overlaps_at_the_end_of_a_text(spark):
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(900)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [text(n) for n in (37, 50, 59)]
+    texts = [" ".join(before + item[: len(item) - cut]) for item in items for cut in range(13) for before in ([], text(300))]
+    items = [" ".join(i) for i in items]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontam.overlaps(docs(spark, texts), bench).collect()}
+    assert got == brute_overlaps(texts, items) and min(got.values()) < 0.82
+
+
+def test_overlaps_of_short_items(spark):
+    bench = spark.createDataFrame([(1, "Only three, words"), (2, "single"), (3, "a b c d e f")], "item_id bigint, text string")
+    texts = ["here are only three words again, only three words", "only three other words", "single", "a b c d e f single", "words three only", None]
+    got = {(r.doc_id, r.item_id, r.start, r.similarity, r.size) for r in decontam.overlaps(docs(spark, texts), bench).collect()}
+    assert got == {(0, 1, 2, 1.0, 1), (2, 2, 0, 1.0, 1), (3, 2, 6, 1.0, 1), (3, 3, 0, 1.0, 2)}
+
+
 def test_overlaps_of_null_and_repeated_keys(spark):
     item = "a b c d e f g h i j k l"
     d = spark.createDataFrame([(None, item), (1, "x " + item), (1, item), (2, "z")], "doc_id bigint, text string")
