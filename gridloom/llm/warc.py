@@ -94,9 +94,10 @@ def parse(records: DataFrame) -> DataFrame:
     A response whose payload doesn't have the digest that its header states stops the read.
     """
     text = F.col("record")
-    top = F.decode(F.substring(text, 1, 4096), "ISO-8859-1")
+    # The header ends with the first empty line, however long its URL; one character is one byte here.
+    top = F.concat(F.substring_index(F.decode(text, "ISO-8859-1"), "\r\n\r\n", 1), F.lit("\r\n"))
     size = F.regexp_extract(top, r"\r\nContent-Length: (\d+)\r\n", 1).cast("int")
-    skip = F.instr(top, F.lit("\r\n\r\n")) + 3 + len(HTTP)
+    skip = F.length(top) + 2 + len(HTTP)
     own = F.substring(text, skip + 1, size - len(HTTP))
     stated, kind = F.regexp_extract(top, r"\r\nWARC-Payload-Digest: sha1:([A-Z2-7]{32})\r\n", 1), F.regexp_extract(top, r"\r\nWARC-Type: (\w+)\r\n", 1)
     good = (kind == "revisit") | ((base32_sha1(own) == stated) & (F.octet_length(own) == F.col("payload_bytes")))

@@ -383,6 +383,15 @@ def test_warc(spark):
     assert warc.archive(spark.createDataFrame([], "page_id bigint, url string, html string")).records().count() == 0
 
 
+def test_warc_headers_of_any_length(spark):
+    url = "http://h/" + "é" * 5000
+    rows = [(i, url, t) for i, t in enumerate(["<p>a</p>", "<p>a</p>", "b\r\n\r\nc"])]
+    archive = warc.archive(spark.createDataFrame(rows, "page_id bigint, url string, html string"), buckets=4)
+    got = {r.page: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.parse(archive.records()).collect()}
+    assert got == {0: (8, "revisit", "1"), 1: (8, "response", None), 2: (6, "response", None)}
+    assert all(r.payload_digest for r in warc.parse(archive.records()).collect())
+
+
 # Classifiers
 
 
