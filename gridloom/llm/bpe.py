@@ -2,24 +2,28 @@
 
 Tier one: a minimal perfect hash over the vocabulary resolves each pre-token that is a token itself. Tier two: the
 others are merged by a heap over a linked list of their bytes, lowest rank first and leftmost among equals, in
-O(n log n) even for a pre-token as long as the text. Each worker remembers the ids of pre-tokens that it has met, up to
-a bound.
+O(n log n) even for a pre-token as long as the text. Each worker holds one encoder, found again by the vocabulary's
+content, and remembers the ids of pre-tokens that it has met, up to a bound in bytes.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from array import array
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Pre-tokens that a worker remembers (about 150 bytes each), and the longest that it remembers.
-MEMO, MEMO_CHARS = 500_000, 64
+#: Bytes of pre-tokens and ids that a worker remembers (estimated), what an entry takes besides, and the longest one.
+MEMO_BYTES, ENTRY_BYTES, MEMO_CHARS = 32 << 20, 220, 64
+#: Rows of an Arrow batch that are worked on at once.
+ROWS = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -136,66 +140,90 @@ class Encoder:
         for token, rank in ranks.items():
             self.token[rank] = token
         self.memo: dict[str, bytes] = {}
+        self.held = 0  # estimated bytes of the memo
 
-    def resolve(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids (as int32 bytes) of every distinct piece, new ones by the two tiers."""
+    def resolve(self, pieces: set[str]) -> list[str]:
+        """Put the ids (as int32 bytes) of every piece into the memo; the pieces that are too long to stay there."""
+        if self.held > MEMO_BYTES:
+            self.memo.clear()
+            self.held = 0
         memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
         new = [p for p in pieces if p not in memo]
-        if not new:
-            return memo
         raw = [p.encode("utf-8") for p in new]
-        found = {p: array("i", (i,) if i >= 0 else merge(b, self.ranks)).tobytes() for p, b, i in zip(new, raw, self.hash.lookup(raw))}
-        if max(map(len, new)) > MEMO_CHARS:
-            memo.update((p, ids) for p, ids in found.items() if len(p) <= MEMO_CHARS)
-            return memo | found
-        memo.update(found)
-        return memo
+        passing = []
+        for p, b, i in zip(new, raw, self.hash.lookup(raw)):
+            memo[p] = ids = array("i", (i,) if i >= 0 else merge(b, self.ranks)).tobytes()
+            if len(p) > MEMO_CHARS:
+                passing.append(p)
+            else:
+                self.held += ENTRY_BYTES + len(b) + len(ids)
+        return passing
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         pieces = [self.find(t) for t in texts]
-        ids = self.resolve(set(chain.from_iterable(pieces))).__getitem__
-        return [np.frombuffer(b"".join(map(ids, own)), np.int32) for own in pieces]
+        passing = self.resolve(set(chain.from_iterable(pieces)))
+        ids = self.memo.__getitem__
+        out = [np.frombuffer(b"".join(map(ids, own)), np.int32) for own in pieces]
+        for p in passing:
+            del self.memo[p]
+        return out
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-_held: dict[tuple[int, str], Encoder] = {}
+_held: dict[str, Encoder] = {}
 
 
-def held_encoder(shared, pattern: str) -> Encoder:
-    """The encoder of this worker process for a broadcast (ranks, perfect hash)."""
-    ranks, perfect = shared.value
-    key = id(ranks), pattern
-    if key not in _held:
-        _held[key] = Encoder(ranks, pattern, perfect)
-    return _held[key]
+def shared_vocabulary(spark: SparkSession, ranks: dict[bytes, int], pattern: str) -> tuple[str, Broadcast]:
+    """A name by content, and the broadcast (ranks, perfect hash) of a vocabulary: one file that is read, about 2 MB."""
+    name = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
+    return name, spark.sparkContext.broadcast((ranks, PerfectHash(ranks)))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+def held_encoder(name: str, shared: Broadcast, pattern: str) -> Encoder:
+    """The one encoder of this worker process. A broadcast of a vocabulary that it holds already isn't even read."""
+    if name not in _held:
+        _held.clear()
+        ranks, perfect = shared.value
+        _held[name] = Encoder(ranks, pattern, perfect)
+    return _held[name]
+
+
+def free_name(wanted: str, taken: list[str]) -> str:
+    """A column name that none of the taken ones equals."""
+    while wanted.lower() in {t.lower() for t in taken}:
+        wanted += "_"
+    return wanted
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
     """docs with a column of ids (array<int>) in the place of text; null texts count as empty and give no ids.
 
+    With `decoded`, a column of that name has the bytes that the ids stand for, decoded from them by the same worker.
     Special tokens don't exist here: their strings are ordinary text. All other columns and rows pass unchanged; if docs
-    has a column named like out already, that one is replaced.
+    has a column named like an output already, that one is replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, PerfectHash(ranks)))  # one vocabulary, about 2 MB
-    keep = [c for c in docs.columns if c not in (text, out)]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{out}` array<int>"])
+    name, shared = shared_vocabulary(docs.sparkSession, ranks, pattern)
+    outputs = [out, *([decoded] if decoded else [])]
+    keep = [c for c in docs.columns if c not in (text, *outputs)]
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{out}` array<int>", *([f"`{decoded}` binary"] if decoded else [])])
 
     def run(batches):
-        enc = held_encoder(shared, pattern)
+        enc = held_encoder(name, shared, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):  # bounds what is held of one batch
-                part = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, ROWS):  # bounds what is held of one batch
+                part = batch.slice(at, ROWS)
                 ids = enc.encode([t or "" for t in part.column(len(keep)).to_pylist()])
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.ListArray.from_arrays(pa.array(offsets), flat)], [*keep, out])
+                made = [pa.ListArray.from_arrays(pa.array(offsets), flat)]
+                if decoded:
+                    made.append(pa.array([enc.decode(x.tolist()) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *made], [*keep, *outputs])
 
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias(free_name("text", keep))).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -211,9 +239,9 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: st
     def run(batches):
         token = shared.value.__getitem__
         for batch in batches:
-            col = batch.column(at)
-            flat, ends = col.flatten().to_numpy(zero_copy_only=False), np.cumsum(col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            texts = [b"".join(map(token, flat[a:b].tolist())) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*rest, out])
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                texts = [b"".join(map(token, own or ())) for own in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*rest, out])
 
     return tokens.select(*(F.col(f"`{c}`") for c in rest)).mapInArrow(run, schema)

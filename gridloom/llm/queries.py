@@ -82,8 +82,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = tokenizer()
-    tokens = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
-    both = bpe.decode(tokens, ranks)
+    both = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern, decoded="decoded")
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import PerfectHash, held_encoder
+from .bpe import held_encoder, shared_vocabulary
 
 #: Ids in a block.
 BLOCK = 1 << 18
@@ -26,10 +26,10 @@ def write_flat(docs: DataFrame, path: str, ranks: dict[bytes, int], pattern: str
     """
     if max(ranks.values()) >= separator or separator >= 1 << 8 * width:
         raise ValueError("the separator must be above all ids and fit the width")
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, PerfectHash(ranks)))
+    name, shared = shared_vocabulary(docs.sparkSession, ranks, pattern)
 
     def run(batches):
-        enc = held_encoder(shared, pattern)
+        enc = held_encoder(name, shared, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 texts = [t or "" for t in batch.column(0).slice(at, 64).to_pylist()]

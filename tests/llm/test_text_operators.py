@@ -288,11 +288,37 @@ def test_encode_and_decode(spark):
     got = {r.doc_id: r for r in bpe.decode(tokens, ranks).collect()}
     for i, t in enumerate(texts):
         assert got[i].ids == ref.encode_ordinary(t or "") and bytes(got[i].decoded) == (t or "").encode()
+    same = {r.doc_id: r for r in bpe.encode(docs(spark, texts).withColumn("text_", F.lit(1)), ranks, pattern, decoded="back").collect()}
+    assert all((same[i].ids, bytes(same[i].back)) == (got[i].ids, bytes(got[i].decoded)) for i in got)
+    keyless = spark.createDataFrame([(None, "a b"), (None, None), (1, "a b"), (1, "c")], "doc_id bigint, text string")
+    assert sorted((r.doc_id or 0, bytes(r.back)) for r in bpe.encode(keyless, ranks, pattern, decoded="back").collect()) == [(0, b""), (0, b"a b"), (1, b"a b"), (1, b"c")]
+    clashing = spark.createDataFrame([(1, "t", "a b")], "doc_id bigint, __text string, text string")
+    assert bpe.encode(clashing, ranks, pattern).first()["__text"] == "t"
     assert bpe.encode(docs(spark, []), ranks, pattern).count() == 0
     with pytest.raises(ValueError):
         bpe.Encoder({b"a": 0}, pattern)
 
 
+def test_a_worker_holds_one_encoder_of_bounded_memory(monkeypatch):
+    ranks, pattern, ref = reference()
+
+    class Shared:
+        reads, value = 0, property(lambda self: (setattr(Shared, "reads", Shared.reads + 1), (ranks, bpe.PerfectHash(ranks)))[1])
+
+    monkeypatch.setattr(bpe, "_held", {})
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 100_000)
+    rng = random.Random(4)
+    for _ in range(3):
+        enc = bpe.held_encoder("same", Shared(), pattern)
+        for _ in range(20):
+            text = " ".join("".join(rng.choices("abcdefghij", k=rng.randint(1, 90))) for _ in range(100))
+            assert enc.encode([text])[0].tolist() == ref.encode_ordinary(text)
+            assert enc.held < 200_000 and max(map(len, enc.memo)) <= bpe.MEMO_CHARS
+    assert Shared.reads == 1 and len(bpe._held) == 1
+    bpe.held_encoder("other", Shared(), pattern)
+    assert list(bpe._held) == ["other"]
+
+
 def test_merge_takes_the_lowest_rank_leftmost():
     ranks = {bytes([i]): i for i in range(256)} | {b"aa": 256, b"aaa": 257, b"ab": 258}
     assert bpe.merge(b"aaaab", ranks) == [256, 256, 98]
