@@ -1,29 +1,39 @@
-"""Helpers that the text operators share: stages in the shared folder, size-checked joins."""
+"""Helpers that the text operators share: stages in the shared folder, row identity, size-checked joins."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 #: ASCII white space as the contracts define it: space, and tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 
-#: Rows up to which an id list or a lookup table may be broadcast (16 bytes a row: 16 MB).
-BROADCAST_ROWS = 1_000_000
+#: Estimated bytes up to which a table may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
+#: The column that names a row.
+ROW = "__row"
 
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster shares, from spark.checkpoint.dir.
+
+    Where that is unset: a temporary folder in local mode, and a folder in the warehouse, which is shared, on a cluster.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        application = spark.sparkContext.applicationId
-        base = _own[application] = _own.get(application) or "file://" + tempfile.mkdtemp(prefix="gridloom-")
+        context = spark.sparkContext
+        if context.applicationId not in _own:
+            local = context.master == "local" or context.master.startswith("local[")
+            _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="gridloom-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/gridloom-stages"
+        base = _own[context.applicationId]
     return base.rstrip("/")
 
 
@@ -52,14 +62,49 @@ def discard(*stages: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count proves that it has at most so many rows; else df, for a shuffled join."""
-    return F.broadcast(df) if df.count() <= rows else df
+def row_bytes(kind: DataType, col: Column) -> Column:
+    """Estimated bytes of a value in a broadcast table."""
+    if isinstance(kind, StructType):
+        return sum((row_bytes(f.dataType, col[f.name]) for f in kind.fields), F.lit(16))
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, StructType, ArrayType)):
+            return F.coalesce(F.aggregate(col, F.lit(16).cast("bigint"), lambda n, x: n + row_bytes(kind.elementType, x).cast("bigint")), F.lit(16))
+        return F.greatest(F.size(col), F.lit(0)) * 8 + 16
+    return F.lit(16)
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows, measured now, are estimated at `limit` bytes or fewer; else df, for a shuffled join."""
+    size = sum((row_bytes(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(32)).cast("bigint")
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit else df
+
+
+def _of_one_scan(plan) -> bool:
+    """Whether a logical plan only filters and projects one relation of files."""
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.getClass().getSimpleName() == "LogicalRelation"
+
+
+def with_rows(docs: DataFrame, name: str = ROW) -> DataFrame:
+    """docs with a column that names each row, the same in every run over the same files.
+
+    It is the place in the file, (hash of the file's path, position), where docs filters and projects one table of
+    files. Anything else is written to the shared folder first.
+    """
+    if _of_one_scan(docs._jdf.queryExecution().analyzed()):
+        try:
+            return docs.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+        except AnalysisException:  # files of a kind that doesn't number its rows
+            pass
+    return with_rows(staged(docs, "rows"), name)
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs without the rows whose key is in ids (one column, staged)."""
-    return docs.join(small(ids.select(key).distinct()), key, "left_anti").select(*docs.columns)
+def without_rows(rows: DataFrame, dropped: DataFrame, name: str = ROW) -> DataFrame:
+    """rows (of with_rows) without those that dropped names (one column, staged) and without the column of names."""
+    return rows.join(small(dropped.select(name).distinct()), name, "left_anti").drop(name)
 
 
 def text_or_empty(col: str | Column = "text") -> Column:

@@ -1,25 +1,24 @@
 """Benchmark decontamination by SimHash over item-sized windows. DataFrame functions only.
 
-Words are the runs of letters and digits in lower case; shingles have K words. For each benchmark item of S shingles,
-windows of S shingles, fewer at the end of the text, are considered at every position of a document where enough shared
-shingles start: a similarity of 0.8 needs 0.8 of S in common, so no other window can match (whole windows need 8/9, those
-that the end cuts off need less). Items of fewer than K words are looked up as they are. Each window gets a
-SimHash; a multi-index over RADIUS + 1 blocks of its bits finds every item fingerprint within RADIUS; and the exact
-weighted Jaccard similarity (shingles weighted by their counts) decides.
-
-RADIUS is wide because a similarity of 0.8 alone moves about 10 of 64 bits (25 or more in fewer than one pair in a
-million), and a narrow one would lose true matches.
+Words are the runs of letters and digits in lower case; shingles have K words. Windows have the sizes of the items, in
+shingles (fewer at the end of the text), and start where the text could hold enough of any items of that size: a
+similarity of 0.8 needs 0.8 of an item's S shingles, so a window in which fewer shingles belong to items can't match.
+Each window gets a SimHash; a multi-index over RADIUS + 1 blocks of its bits finds every item of its size within RADIUS;
+and the exact weighted Jaccard similarity (shingles weighted by their counts) decides. Items of fewer than K words are
+looked up as they are.
+
+A similarity of exactly 0.8 moves about 10 of 64 bits, so a window at that bound is missed by RADIUS in a few cases of a
+hundred, one of 0.9 in a few of a thousand, an equal one never. A radius of 64 compares every window with all items of its size.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, small, staged, text_or_empty
+from .common import ROW, discard, small, staged, text_or_empty, with_rows
 
-K, THRESHOLD, RADIUS = 5, 0.8, 24
+K, THRESHOLD, RADIUS = 5, 0.8, 14
 
 
 def words(text: str | Column) -> Column:
@@ -53,22 +52,32 @@ def runs_of(text: str | Column, n: int) -> Column:
 
 
 def fingerprint(sh: Column) -> Column:
-    """64-bit SimHash of an array of hashes: a bit is set if it is in over half of them."""
-    bit = lambda b: F.aggregate(sh, F.lit(0), lambda a, x: a + F.call_function("shiftright", x, b).bitwiseAND(F.lit(1)).cast("int"))
-    ones = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(bit(b) * 2 > F.size(sh), F.lit(1)).otherwise(F.lit(0)))
-    return F.aggregate(F.transform(ones, lambda one, b: F.when(one == 1, F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
+    """64-bit SimHash of an array of hashes: a bit is set if it is in over half of them.
+
+    Sixteen sums count the bits, four 16-bit counters in each; arrays too long for those are counted bit by bit.
+    """
+    at = lambda x, b: F.call_function("shiftrightunsigned", x, b)
+    lanes = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: F.aggregate(sh, F.lit(0).cast("bigint"), lambda n, x: n + at(x, b).bitwiseAND(F.lit(0x0001000100010001))))
+    few = let(lanes, lambda n: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: at(F.get(n, b % 16), F.floor(b / 16).cast("int") * 16).bitwiseAND(F.lit(0xFFFF))))
+    many = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.aggregate(sh, F.lit(0).cast("bigint"), lambda n, x: n + at(x, b).bitwiseAND(F.lit(1))))
+    counts = F.when(F.size(sh) < 1 << 16, few).otherwise(many)
+    bits = F.transform(counts, lambda n, b: F.when(n * 2 > F.size(sh), F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")))
+    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
 
 
 def blocks(fp: Column, radius: int) -> Column:
     """(block number, its bits) for radius + 1 blocks: fingerprints within the radius agree in one of them."""
-    n = radius + 1
-    edge = [64 * i // n for i in range(n + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, edge[i]).bitwiseAND(F.lit((1 << (edge[i + 1] - edge[i])) - 1)).alias("bits")) for i in range(n)])
+    n = radius + 1 if radius < 64 else 1
+    edge = [64 * i // n for i in range(n + 1)] if radius < 64 else [0, 0]
+    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, edge[i]).bitwiseAND(F.lit((1 << (edge[i + 1] - edge[i])) - 1)).cast("bigint").alias("bits")) for i in range(n)])
 
 
-def bag(sh: Column) -> Column:
-    """(shingle, count) of each distinct shingle."""
-    return F.transform(F.array_distinct(sh), lambda x: F.struct(x.alias("h"), F.size(F.filter(sh, lambda y: y == x)).alias("n")))
+def marked(sh: Column) -> Column:
+    """The hashes with each repeat told apart by its number, so that plain intersections count the weights."""
+    def of(order: Column) -> Column:
+        return F.transform(order, lambda x, i: let(i + 1 - F.array_position(order, x), lambda nth: F.when(nth > 0, F.xxhash64(x, nth)).otherwise(x)))
+
+    return F.when(F.size(F.array_distinct(sh)) == F.size(sh), sh).otherwise(let(F.array_sort(sh), of))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", k: int = K, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
@@ -76,47 +85,50 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 
     start is the first shingle (its word) of the best window, the earliest among equals; size counts its shingles. Null
     and empty texts contain nothing, and items without a word match nothing. Items shorter than k words count as one
-    shingle of their own length and match where a text holds just these words in order. Rows that repeat a key are taken as one document's alternatives: the best window of any of them counts.
-    Null keys are kept apart from every other and reported under null. Other columns are ignored.
+    shingle of their own length and match where a text holds just these words in order. Rows that repeat a key are taken
+    as one document's alternatives: the best window of any of them counts. Null keys (and null items) are one key (one
+    item), reported under null. Other columns are ignored.
     """
+    rows = with_rows(docs.select(F.col(key).alias("key"), F.col(text).alias("t")))
     items = benchmark.select(F.col(item).alias("item"), F.size(words(item_text)).alias("n"), shingles(item_text, k).alias("sh")).where(F.size("sh") > 0).distinct()
-    short = staged(items.where(F.col("n") < k).select("item", "n", F.get("sh", F.lit(0)).alias("h")), "short")
-    items = items.where(F.col("n") >= k).select("item", "sh")
+    items = staged(items.withColumn("ino", F.monotonically_increasing_id()), "benchmark")
+    short = items.where(F.col("n") < k).select("item", "n", F.get("sh", F.lit(0)).alias("h"))
     # A window cut off by the end has m < s shingles; c of them shared give c / (m + s - c) <= c / s.
-    items = items.withColumn("s", F.size("sh")).withColumn("need", F.ceil(threshold * F.col("s") - 1e-9).cast("int"))
-    items = staged(items.withColumn("ifp", fingerprint(F.col("sh"))), "items")
-    vocabulary = small(items.select("item", "s", "need", F.explode("sh").alias("h")).distinct(), BROADCAST_ROWS)
-    spread = docs.select(F.col(key).alias("key"), F.posexplode_outer(shingles(text, k)).alias("pos", "h"))
-    # The positions at which a document shares a shingle with an item: at most one entry for each of its words.
-    hits = spread.join(vocabulary, "h").groupBy("key", "item", "s", "need").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    s = F.size("sh")
+    items = staged(items.where(F.col("n") >= k).select("ino", "item", "sh", s.alias("s"), F.ceil(threshold * s - 1e-9).cast("int").alias("need"), fingerprint(F.col("sh")).alias("ifp")), "items")
+    vocabulary = small(items.select("s", "need", F.explode("sh").alias("h")).distinct())
+    spread = rows.select(ROW, F.posexplode(shingles("t", k)).alias("pos", "h"))
+    # For each size of items: the positions at which a document shares a shingle with any; at most one for each word.
+    hits = spread.join(vocabulary, "h").groupBy(ROW, "s", "need").agg(F.array_sort(F.collect_list("pos")).alias("at"))
     at, need = F.col("at"), F.col("need")
     # A window from a hit holds enough hits only if the need-th hit from there lies within it.
     begin = F.filter(F.transform(at, lambda p, i: F.when(F.get(at, i + need - 1) < p + F.col("s"), p)), lambda p: p.isNotNull())
-    starts = staged(hits.select("key", "item", "s", F.explode(begin).alias("pos")), "starts")
-    ids = small(starts.select(F.col("key").alias("k2")).distinct())
-    held = docs.select(F.col(key).alias("key"), F.col(text).alias("t")).join(ids, F.col("key").eqNullSafe(F.col("k2")), "left_semi").select("key", shingles("t", k).alias("sh"))
-    at = starts.groupBy(F.col("key").alias("k2")).agg(F.collect_list(F.struct("item", "s", "pos")).alias("at"))
-    windows = held.join(at, F.col("key").eqNullSafe(F.col("k2"))).select("key", "sh", F.explode("at").alias("at"))
-    windows = windows.select("key", "at.item", "at.s", "at.pos", F.slice("sh", F.col("at.pos") + 1, F.col("at.s")).alias("w")).where(F.size("w") > 0)
-    windows = staged(windows.withColumn("fp", fingerprint(F.col("w"))), "windows")
-    probe = windows.select("key", "item", "pos", "fp", F.explode(blocks(F.col("fp"), radius)).alias("b")).select("key", "item", "pos", "fp", "b.block", "b.bits")
-    index = items.select("item", "s", "ifp", F.explode(blocks(F.col("ifp"), radius)).alias("b")).select("item", "s", "ifp", "b.block", "b.bits")
-    near = probe.join(small(index), ["item", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
-    near = near.select(F.col("key").alias("k2"), F.col("item").alias("i2"), F.col("pos").alias("p2"), F.col("fp").alias("f2")).distinct()
-    pairs = windows.join(near, F.col("key").eqNullSafe(F.col("k2")) & (F.col("item") == F.col("i2")) & (F.col("pos") == F.col("p2")) & (F.col("fp") == F.col("f2")), "left_semi")
-    pairs = pairs.join(small(items.select("item", F.col("sh").alias("ish"))), "item")
-    def shared(mine: Column, theirs: Column) -> Column:
-        fewer = lambda x: F.aggregate(F.filter(theirs, lambda y: y.h == x.h), F.lit(0), lambda u, y: u + F.least(x.n, y.n))
-        return F.aggregate(bag(mine), F.lit(0), lambda t, x: t + fewer(x))
-
-    common = let(bag(F.col("ish")), lambda theirs: shared(F.col("w"), theirs))
-    scored = pairs.select("key", "item", "s", "pos", F.size("w").alias("size"), common.alias("common"))
+    starts = staged(hits.select(ROW, "s", F.explode(begin).alias("pos")), "starts")
+    held = staged(rows.join(small(starts.select(ROW).distinct()), ROW, "left_semi").select(ROW, "key", shingles("t", k).alias("sh")), "held")
+    window = F.slice("sh", F.col("pos") + 1, F.col("s"))
+    windows = starts.join(held, ROW).select(ROW, "s", "pos", window.alias("w")).select(ROW, "s", "pos", fingerprint(F.col("w")).alias("fp"))
+    windows = staged(windows, "windows")
+    # Copies of a passage share its fingerprint: each is probed once.
+    probe = windows.select("s", "fp").distinct().select("s", "fp", F.explode(blocks(F.col("fp"), radius)).alias("b")).select("s", "fp", "b.*")
+    index = items.select("ino", "s", "ifp", F.explode(blocks(F.col("ifp"), radius)).alias("b")).select("ino", "s", "ifp", "b.*")
+    near = probe.join(small(index), ["s", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
+    near = staged(near.select("s", "fp", "ino").distinct(), "near")
+    # Of an item that is found, all windows around the place are compared: the best may lie beyond the radius itself.
+    cell = F.floor(F.col("pos") / F.col("s"))
+    found = windows.join(small(near), ["s", "fp"]).select(ROW, "ino", "s", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell")).distinct()
+    pairs = starts.withColumn("cell", cell).join(found, [ROW, "s", "cell"]).drop("s", "cell")
+    pairs = pairs.join(small(items.select("ino", "item", "s", marked(F.col("sh")).alias("theirs"))), "ino").join(held, ROW)
+    pairs = pairs.select("key", "item", "s", "theirs", "pos", window.alias("w"))
+    shared = F.size(F.array_intersect(marked(F.col("w")), F.col("theirs")))
+    scored = pairs.select("key", "item", "s", "pos", F.size("w").alias("size"), shared.alias("common"))
     scored = scored.withColumn("similarity", F.col("common") / (F.col("size") + F.col("s") - F.col("common"))).where(F.col("similarity") >= threshold - 1e-12)
-    for n in sorted(r.n for r in short.select("n").distinct().collect()):
-        runs = docs.select(F.col(key).alias("key"), F.posexplode(runs_of(text, n)).alias("pos", "h"))
+    scored = scored.select("key", "item", "pos", "size", "similarity")
+    for n in sorted(r.n for r in short.select("n").distinct().collect()):  # at most k - 1 of them
+        runs = rows.select("key", F.posexplode(runs_of("t", n)).alias("pos", "h"))
         same = runs.join(small(short.where(F.col("n") == n).select("item", "h")), "h")
-        scored = scored.unionByName(same.select("key", "item", F.lit(1).alias("s"), "pos", F.lit(1).alias("size"), F.lit(1).alias("common"), F.lit(1.0).alias("similarity")))
-    best = scored.groupBy("key", "item").agg(F.max(F.struct("similarity", (-F.col("pos")).alias("back"), "size")).alias("m"))
+        scored = scored.unionByName(same.select("key", "item", "pos", F.lit(1).alias("size"), F.lit(1.0).alias("similarity")))
+    best = staged(scored.groupBy("key", "item").agg(F.max(F.struct("similarity", (-F.col("pos")).alias("back"), "size")).alias("m")), "overlaps")
+    discard(starts, held, windows, near)
     return best.select(F.col("key").alias(key), F.col("item").alias(item), (-F.col("m.back")).alias("start"), "m.similarity", "m.size")
 
 
@@ -124,4 +136,3 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Ids of the documents that contain an item, one column."""
     key = options.get("key", "doc_id")
     return overlaps(docs, benchmark, **options).select(key).distinct()
-

@@ -27,8 +27,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = exact_dedup.DigestIndex(spark, "digest_index_" + new_path(spark, "x").rsplit("-", 1)[1])
-    found = index.ingest(table(spark, sf_dir, "documents"))
+    """Two batches against one index, the lower half of the ids first, so that keep_id is the smallest of all."""
+    docs = table(spark, sf_dir, "documents")
+    index = exact_dedup.DigestIndex(spark, expected=docs.count())
+    found = index.ingest(docs, batches=2)
+    index.drop()  # what it found is written
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -77,7 +80,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.archive(table(spark, sf_dir, "pages"))
     found = warc.parse(archive.records())
-    return found.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+    return found.select(F.col("page").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +108,6 @@ ORACLE = {
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages), h AS (SELECT *, sha1(body) AS hex FROM p),
         d AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST(concat('0x', substr(hex, CAST(i // 4 * 5 + 1 AS BIGINT), 5)) AS BIGINT) >> CAST(15 - i % 4 * 5 AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest FROM h),
-        g AS (SELECT body, max(page_id) AS last FROM p GROUP BY body)
-        SELECT page_id, CAST(strlen(d.body) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM d JOIN g USING (body)""",
+        r AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY page_id DESC NULLS LAST) AS back, max(page_id) OVER (PARTITION BY body) AS last FROM d)
+        SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN back = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN back > 1 THEN last END AS refers_to FROM r""",
 }

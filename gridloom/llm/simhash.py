@@ -302,3 +302,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     named = staged(classes.join(firsts, "root").select("fp", "component_id"), "components")
     discard(found, reps, classes, firsts)
     return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
+
+
+def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
+    """key, component_id (the smallest key that links reach) for each row; links: Jaccard similarity 0.8 or more.
+
+    Fingerprints can't propose these links: 0.8 moves 10 of 64 bits, up to 16 in one pair of a hundred, and no partition
+    is selective at such a radius. So the candidates come from min-wise keys of the same shingles, and each is checked
+    exactly; see minhash.near_copies, whose cases hold here too.
+    """
+    from .minhash import near_copies
+
+    return near_copies(docs, key, text, k)

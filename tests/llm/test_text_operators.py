@@ -29,7 +29,7 @@ ODD = [None, "", " \t\n", "a", "A", "one two three", "ONE two  three", "x" * 500
 
 
 def test_exact_dedup(spark):
-    index = exact_dedup.DigestIndex(spark, "test_index", buckets=4)
+    index = exact_dedup.DigestIndex(spark)
     got = {r.doc_id: r for r in index.ingest(docs(spark, ODD)).collect()}
     assert len(got) == len(ODD)
     assert (got[0].keep_id, got[1].keep_id, got[0].group_size, got[2].kept) == (0, 0, 2, True)  # null is empty; white space becomes one space
@@ -39,19 +39,55 @@ def test_exact_dedup(spark):
     n = index.read().count()
     index.ingest(docs(spark, ODD))
     assert index.read().count() == n == index.read().select("digest").distinct().count()
-    index.compact()
-    assert index.read().count() == n and index.ingest(docs(spark, ["a"], 500)).first().keep_id == 3
     assert index.ingest(docs(spark, [])).count() == 0
     none = spark.createDataFrame([(None, "q"), (None, "q"), (7, "q")], "doc_id bigint, text string")
     assert {(r.doc_id, r.keep_id, r.kept) for r in index.ingest(none).collect()} == {(None, 7, False), (7, 7, True)}
 
 
+def test_index_outlives_its_session(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/index"
+    one = exact_dedup.DigestIndex(spark, path)
+    one.ingest(docs(spark, ["a", "b"]))
+    spark.sql(f"DROP TABLE {one.name}")  # what the end of a session does to its catalogue
+    two = exact_dedup.DigestIndex(spark.newSession(), path)
+    found = {(r.doc_id, r.keep_id, r.kept) for r in two.ingest(docs(spark, ["b", "c"], 50)).collect()}
+    assert found == {(50, 1, False), (51, 51, True)} and two.read().count() == 3
+    monkeypatch.setattr(exact_dedup, "BUCKET_ROWS", 1)
+    monkeypatch.setattr(exact_dedup, "BUCKETS", 1)
+    two.compact()
+    assert (two.generation, two.buckets, two.read().count()) == (1, 4, 3)
+    (tmp_path / "index" / "next").mkdir()  # what a crash in compact() leaves
+    three = exact_dedup.DigestIndex(spark.newSession(), path)
+    assert three.ingest(docs(spark, ["c"], 90)).first().keep_id == 51 and three.read().count() == 3
+    three.compact()
+    three.drop()
+    assert not (tmp_path / "index").exists()
+
+
+def test_batches_give_the_same(spark):
+    rng = random.Random(9)
+    d = docs(spark, [rng.choice(["x", "y  y", "y y", None, "", str(i)]) for i in range(60)])
+    d = d.unionByName(d.limit(5)).unionByName(d.limit(3).withColumn("doc_id", F.lit(None).cast("bigint")))
+    runs = []
+    for batches in (1, 2, 7):
+        index = exact_dedup.DigestIndex(spark)
+        runs.append(sorted((tuple(r) for r in index.ingest(d, batches=batches).collect()), key=repr))
+        index.drop()
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 68
+
+
+def test_one_row_of_each_text_stays(spark):
+    rows = [(1, "same"), (1, "same"), (2, "same"), (2, "unique"), (None, "same"), (None, "nameless"), (None, "nameless")]
+    d = spark.createDataFrame([(*r, 0) for r in rows], "doc_id bigint, text string, row int")
+    assert sorted(map(repr, exact_dedup.distinct_texts(d).collect())) == sorted(["Row(doc_id=1, text='same', row=0)", "Row(doc_id=2, text='unique', row=0)", "Row(doc_id=None, text='nameless', row=0)"])
+
+
 def test_anti_join_reads_the_index_without_a_shuffle(spark):
-    index = exact_dedup.DigestIndex(spark, "test_plan", buckets=4)
+    index = exact_dedup.DigestIndex(spark)
     index.ingest(docs(spark, ODD))
     groups = spark.createDataFrame([(b"\1" * 32, 1, 1)], "digest binary, keep_id bigint, rows bigint")
-    plan = groups.join(index.read().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan
+    plan = index.fresh(groups)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan and "LeftAnti" in plan
 
 
 # SimHash
@@ -175,6 +211,7 @@ def test_near_copies(spark, monkeypatch, short, block):
     got = {r.doc_id: r.component_id for r in minhash.near_copies(d).collect()}
     assert got == dict(enumerate(want)) and len(set(want)) < len(want) - 20
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, d, "").collect()}
+    assert {r.doc_id: r.component_id for r in simhash.similar_texts(d).collect()} == got
     assert kept == {i for i, r in enumerate(want) if i == r}
     assert minhash.near_copies(docs(spark, [])).count() == 0
 
@@ -227,9 +264,10 @@ def test_overlaps(spark):
         texts.append(", ".join([*text(n), *item, *text(30)]).upper())
     items = [" ".join(i) for i in items] + [None, ""]
     bench = spark.createDataFrame([*((i, t, "x") for i, t in enumerate(items)), (None, "unmatched item", "x")], "item_id bigint, text string, doc_id string")
-    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontam.overlaps(docs(spark, texts), bench).collect()}
     want = brute_overlaps(texts, items)
-    assert want and got == want
+    for radius in (64, decontam.RADIUS):
+        got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontam.overlaps(docs(spark, texts), bench, radius=radius).collect()}
+        assert want and got == want
     assert decontam.overlaps(docs(spark, []), bench).count() == 0
     assert decontam.overlaps(docs(spark, texts), bench.limit(0)).count() == 0
     assert decontam.contaminated(docs(spark, texts), bench).count() == len({i for i, _ in want})
@@ -247,6 +285,28 @@ def test_overlaps_at_the_end_of_a_text(spark):
     assert got == brute_overlaps(texts, items) and min(got.values()) < 0.82
 
 
+def test_window_fingerprints(spark):
+    rng = random.Random(12)
+    rows = [([rng.getrandbits(64) - (1 << 63) for _ in range(n)],) for n in (1, 2, 7, 60, 3000)] + [([5, 5, -1] * 30000,), ([3, 3, 3, 9],)]
+    df = spark.createDataFrame(rows, "sh array<bigint>").select("sh", decontam.fingerprint(F.col("sh")).alias("fp"), decontam.marked(F.col("sh")).alias("m"))
+    for r in df.collect():
+        assert r.fp % 2**64 == simhash.majority(np.array([x % 2**64 for x in r.sh], np.uint64))
+        assert len(r.m) == len(r.sh) == len(set(r.m)) and set(r.sh) <= set(r.m)
+    pair = spark.createDataFrame([([1, 1, 1, 2], [1, 1, 3, 2, 2])], "a array<bigint>, b array<bigint>")
+    assert pair.select(F.size(F.array_intersect(decontam.marked(F.col("a")), decontam.marked(F.col("b"))))).first()[0] == 3
+
+
+def test_overlaps_of_long_and_repeated_passages(spark):
+    rng = random.Random(21)
+    text = lambda n: [f"v{rng.randrange(400)}" for _ in range(n)]
+    items = [text(n) for n in (20, 20, 30, 45)]
+    texts = [" ".join(sum((text(rng.randrange(90)) + items[rng.randrange(4)] for _ in range(60)), [])), " ".join(items[0] * 40), " ".join(text(9000) + items[2])]
+    items = [" ".join(i) for i in items] + [" ".join(items[0])]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontam.overlaps(docs(spark, texts), bench).collect()}
+    assert got == brute_overlaps(texts, items) and {(1, 0), (1, 4), (2, 2)} <= set(got)
+
+
 def test_overlaps_of_short_items(spark):
     bench = spark.createDataFrame([(1, "Only three, words"), (2, "single"), (3, "a b c d e f")], "item_id bigint, text string")
     texts = ["here are only three words again, only three words", "only three other words", "single", "a b c d e f single", "words three only", None]
@@ -393,29 +453,45 @@ def test_chat_budget(spark):
 def test_warc(spark):
     html = [None, "", "<p>a</p>", "<p>a</p>", "x" * 100_000, "é\r\n\r\nWARC/1.1", "<p>a</p>"]
     rows = [(i, None if i == 2 else f"http://h/ {i}\r\nX: y", t, i) for i, t in enumerate(html)]
-    rows += [(6, "http://again", "<p>a</p>", 9), (None, "http://none", "z", 1)]
     archive = warc.archive(spark.createDataFrame(rows, "page_id bigint, url string, html string, digest int"), buckets=4)
-    got = {r.page: r for r in warc.parse(archive.records()).collect()}
+    got = {int(r.page): r for r in warc.parse(archive.records()).collect()}
     assert sorted(got) == list(range(7))
     for i, t in enumerate(html):
         body = (t or "").encode()
         last = max(j for j, u in enumerate(html) if (u or "") == (t or ""))
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())
         assert (got[i].record_type, got[i].refers_to) == (("response", None) if i == last else ("revisit", str(last)))
-    raw = {r.page: bytes(r.record) for r in archive.records().collect()}
+    raw = {int(re.search(rb"<urn:page:=(\d+):", r.record)[1]): bytes(r.record) for r in archive.records().collect()}
     assert raw[5].startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and raw[5].endswith("é\r\n\r\nWARC/1.1\r\n\r\n".encode())
     assert int(re.search(rb"Content-Length: (\d+)", raw[5])[1]) == len(raw[5].split(b"\r\n\r\n", 1)[1]) - 4
     assert spark.table(archive.payloads).count() == 4
     assert warc.archive(spark.createDataFrame([], "page_id bigint, url string, html string")).records().count() == 0
 
 
-def test_warc_headers_of_any_length(spark):
-    url = "http://h/" + "é" * 5000
+def test_warc_keeps_repeated_and_null_keys(spark, tmp_path):
+    rows = [(6, "u", "a"), (6, "u", "a"), (6, "v", "b"), (None, "w", "a"), (None, "x", "only"), (None, "x", "only"), (7, "y", "b")]
+    archive = warc.archive(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    got = sorted((r.page or "", r.payload_bytes, r.record_type, r.refers_to or "") for r in warc.parse(archive.records()).collect())
+    assert got == [("", 1, "revisit", "6"), ("", 4, "response", ""), ("", 4, "revisit", ""), ("6", 1, "response", ""), ("6", 1, "revisit", "6"), ("6", 1, "revisit", "7"), ("7", 1, "response", "")]
+    archive.write_files(f"file://{tmp_path}/warc")
+    raw = b"".join(p.read_bytes() for p in (tmp_path / "warc").glob("part-*"))
+    assert sorted(x for x in re.split(rb"(?<=\r\n\r\n)(?=WARC/1.1)", raw)) == sorted(bytes(r.record) for r in archive.records().collect())
+    keys = warc.archive(spark.createDataFrame([("a b:=<>", "u", "z"), ("", "u", "z"), (None, "u", "z")], "page_id string, url string, html string"))
+    assert {(r.page, r.refers_to) for r in warc.parse(keys.records()).collect()} == {("a b:=<>", None), ("", "a b:=<>"), (None, "a b:=<>")}
+
+
+def test_warc_headers_of_any_length_and_kind(spark):
+    url = "http://h/" + "é" * 50_000
     rows = [(i, url, t) for i, t in enumerate(["<p>a</p>", "<p>a</p>", "b\r\n\r\nc"])]
     archive = warc.archive(spark.createDataFrame(rows, "page_id bigint, url string, html string"), buckets=4)
-    got = {r.page: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.parse(archive.records()).collect()}
+    got = {int(r.page): (r.payload_bytes, r.record_type, r.refers_to) for r in warc.parse(archive.records()).collect()}
     assert got == {0: (8, "revisit", "1"), 1: (8, "response", None), 2: (6, "response", None)}
-    assert all(r.payload_digest for r in warc.parse(archive.records()).collect())
+    body = b"a\r\n\r\nb"
+    block = b"HTTP/1.0 404 Not Found\r\nServer: other\r\nX: " + b"y" * 9000 + b"\r\n\r\n" + body
+    sha = base64.b32encode(hashlib.sha1(body).digest())
+    foreign = b"WARC/1.0\r\ncontent-length: %d\r\nContent-Type: application/http\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Payload-Digest: sha1:%s\r\n\r\n%s\r\n\r\n" % (len(block), sha, block)
+    r = warc.parse(spark.createDataFrame([(bytearray(foreign), len(body))], "record binary, payload_bytes bigint")).first()
+    assert (r.page, r.payload_digest, r.record_type) == (None, sha.decode(), "response")
 
 
 # Classifiers
@@ -533,7 +609,22 @@ def test_language(spark):
 # Shared helpers
 
 
-def test_without_ids(spark):
-    d = docs(spark, ODD)
-    assert common.without_ids(d, common.staged(d.where("doc_id < 4").select("doc_id"), "t")).count() == len(ODD) - 4
-    assert common.without_ids(d, common.staged(d.limit(0).select("doc_id"), "t")).columns == d.columns
+def test_rows_are_told_apart(spark, tmp_path):
+    d = docs(spark, ODD).unionByName(docs(spark, ODD))
+    rows = common.with_rows(d)
+    assert rows.select(common.ROW).distinct().count() == 2 * len(ODD)
+    dropped = common.staged(rows.where("doc_id < 4").select(common.ROW), "t")
+    left = common.without_rows(rows, dropped)
+    assert left.columns == d.columns and left.count() == 2 * (len(ODD) - 4)
+    d.repartition(3).write.parquet(f"file://{tmp_path}/t")
+    files = spark.read.parquet(f"file://{tmp_path}/t")
+    assert sorted(map(repr, common.with_rows(files).collect())) == sorted(map(repr, common.with_rows(files).collect()))
+    assert common.with_rows(files.where("doc_id = 3").select("text")).select(common.ROW).distinct().count() == 2
+    twice = files.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("x"))
+    assert common.with_rows(twice).select(common.ROW).distinct().count() == 4 * len(ODD)
+
+
+def test_broadcasts_are_measured_in_bytes(spark):
+    df = spark.createDataFrame([("x" * 1000, [1, 2], [("y" * 500,)])], "a string, b array<int>, c array<struct<s: string>>")
+    hinted = lambda limit: "ResolvedHint" in common.small(df, limit)._jdf.queryExecution().analyzed().toString()
+    assert hinted(2000) and not hinted(1500)
