@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of pre-tokens and ids that a worker remembers (estimated), what an entry takes besides, and the longest one.
-MEMO_BYTES, ENTRY_BYTES, MEMO_CHARS = 32 << 20, 220, 64
+MEMO_BYTES, ENTRY_BYTES, MEMO_CHARS = 96 << 20, 220, 64
 #: Rows of an Arrow batch that are worked on at once.
 ROWS = 64
 
