@@ -579,18 +579,35 @@ def greedy_phrases(text, source):
     return n
 
 
-def test_cross_parsing():
+@pytest.mark.parametrize("dense, few", [(94, 16), (2, 16), (94, 0), (3, 1)])
+def test_cross_parsing(monkeypatch, dense, few):
+    monkeypatch.setattr(langid, "DENSE", dense)  # so that letters are rare
+    monkeypatch.setattr(langid, "FEW", few)
     rng = random.Random(6)
     text = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
-    samples = {"aa": [text(300, "abcd ")], "bb": [text(300, "bcde ")]}
+    samples = {"aa": [text(300, "abcd ")], "bb": [text(300, "bcde ")], "zh": [text(400, "中文字母大小abc ")]}
     model = langid.build(samples)
     encoder = model.encoder()
     source = {k: langid.squeeze(np.concatenate([np.append(encoder[langid.code_points(t)], 0) for t in v])).tolist() for k, v in samples.items()}
-    texts = [langid.squeeze(encoder[langid.code_points(text(n, "abcdefé  "))]) for n in (1, 2, 50, 400, langid.BLOCK)]
+    texts = [langid.squeeze(encoder[langid.code_points(text(n, "abcdefé中文小  "))]) for n in [1, 2, 50, 400, 0, 5000, *range(3, 40)]]
     chars = lambda codes: "".join(chr(c + 97) for c in codes)
     got = model.phrases(texts)
     for k, language in enumerate(model.languages):
-        assert got[k].tolist() == [greedy_phrases(chars(t.tolist()), chars(source[language])) for t in texts]
+        assert got[k].tolist() == [greedy_phrases(chars(t.tolist()), chars(source[language])) if len(t) else 0 for t in texts]
+
+
+def test_sample_of_languages(spark, monkeypatch):
+    rows = [(1, "the cat and the dog " * 3000, "en"), (2, "le chat et le chien ", "fr"), *((3, "das ist gut so ", "de") for _ in range(300)), (None, "der hund ist da ", "de"), (4, None, "it"), (5, " 1 ", "pt")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True), rows=20, chars=500)
+    assert model.languages == ["de", "en", "fr"]  # also a language that has long texts alone
+    assert all(2 ** a.bits <= 522 for a in model.automata)  # repeated ids don't enlarge the sample
+    assert [x[0] for x in model.predict(["a dog and a cat", "", "ist er da"], model.encoder())] == ["en", "und", "de"]
+    monkeypatch.setattr(langid, "TABLE_BYTES", 50_000)
+    many = langid.build({str(i): ["abc " * 500] for i in range(30)})
+    assert sum(a.table.nbytes for a in many.automata) <= 50_000
+    same = langid.build({"b": ["xyz"], "a": ["xyz"]})
+    assert same.predict(["xyz"], same.encoder()) == [("a", 0.5)]  # a tie
+    assert langid.slices(__import__("pyarrow").array(["abc", None, "", "x" * 20, "y"]), 8) == [(0, 3), (3, 4), (4, 5)]
 
 
 def test_language(spark):
