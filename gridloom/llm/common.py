@@ -107,6 +107,17 @@ def without_rows(rows: DataFrame, dropped: DataFrame, name: str = ROW) -> DataFr
     return rows.join(small(dropped.select(name).distinct()), name, "left_anti").drop(name)
 
 
+def sampled(docs: DataFrame, chosen: DataFrame, limit: int, key: str, text: str) -> DataFrame:
+    """Rows of docs whose key is in chosen (key; bounded), at most `limit` of them: h (hash of the key), text and chosen's columns.
+
+    They are the rows of least h, of equal ones the first by place, so that repeated keys don't enlarge the sample.
+    """
+    rows = with_rows(docs.select(F.col(key).alias("__key"), F.col(text).alias("text")))
+    h = F.xxhash64("__key").alias("h")
+    ids = rows.select(ROW, "__key", h).join(F.broadcast(chosen.withColumnRenamed(key, "__key")), "__key").drop("__key")
+    return rows.select(ROW, "text").join(F.broadcast(staged(ids.orderBy("h", ROW).limit(limit), "sample")), ROW).drop(ROW)
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

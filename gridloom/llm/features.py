@@ -23,7 +23,7 @@ WORD = bytes(b + 32 if 65 <= b < 91 else b if 48 <= b < 58 or b >= 97 and b < 12
 class Buckets(dict):
     """Word to bucket, remembered up to a bound."""
 
-    def __init__(self, n: int, seed: int = 0, bound: int = 500_000):
+    def __init__(self, n: int, seed: int = 0, bound: int = 200_000):
         super().__init__()
         self.n, self.seed, self.bound = n, seed, bound
 
@@ -45,5 +45,3 @@ def shapes(text: str | None) -> list[bytes]:
     if not raw.size:
         return []
     return raw[np.concatenate(([True], raw[1:] != raw[:-1]))].tobytes().split()
-
-

@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sampled
 from .features import Buckets, shapes, words
 
 BUCKETS, SHAPES, RANK, NEIGHBOURS = 1 << 15, 1 << 12, 48, 25
-#: Bound of the sample of labelled rows that the space and the neighbours come from.
-LABELLED = 4000
+#: Bounds of the sample of labelled rows that the neighbours come from, and of its part that the axes are fitted on.
+LABELLED, FIT_ROWS = 4000, 1000
 #: What a shape counts against a word, and how often the share of repeated triples counts.
 SHAPE_WEIGHT, REPEATS = 3.0, 20
 
@@ -122,17 +123,18 @@ def latent(rows: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, rank: int
     return axes
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = LABELLED, fit_rows: int = 1000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = LABELLED, fit_rows: int = FIT_ROWS) -> Model:
     """Learn from at most `sample` rows of docs that labels covers and `usable` (an expression on doc_id) admits.
 
-    Half of the sample is of each label where there are so many: the rows of least xxhash64(doc_id). The axes come from
-    the first fit_rows of them. Without labelled rows the model scores every text 0.5, the prior of nothing known.
+    Half of the sample is of each label where there are so many: the rows of least xxhash64(doc_id), however often ids
+    repeat; a label other than 0 and 1 doesn't count, and of several labels of an id the largest does. The axes come from
+    the first fit_rows of the sample, document frequencies from all of docs. Without labelled rows the model scores every
+    text 0.5, the prior of nothing known.
     """
     n, seen = document_frequencies(docs)
     idf = np.log((1 + n) / (1 + seen)).astype(np.float32) + np.float32(0.1)
     marked = labels.where(usable & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    order = F.xxhash64("doc_id")
-    chosen = marked.where("quality = 1").orderBy(order).limit(sample // 2).unionByName(marked.where("quality = 0").orderBy(order).limit(sample // 2))
+    order, half = F.xxhash64("doc_id"), sample // 2
 
     def run(batches):
         counts = Counts()
@@ -141,7 +143,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = LABE
                 ids, n = counts(text)
                 yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([quality], pa.int32()), pa.array([ids.astype(np.int32).tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["k", "quality", "ids", "n"])
 
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(order.alias("k"), F.col("quality").cast("int"), "text").mapInArrow(run, "k bigint, quality int, ids binary, n binary").toArrow().to_pylist()
+    got = []
+    for label in (1, 0):
+        chosen = marked.where(F.col("quality") == label).orderBy(order).limit(half).select("doc_id", F.lit(label).alias("quality"))
+        rows = sampled(docs, chosen, half, "doc_id", "text").select("h", "quality", "text")
+        got += rows.mapInArrow(run, "k bigint, quality int, ids binary, n binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["k"], r["ids"]))
     rows = [(np.frombuffer(r["ids"], np.int32).astype(np.int64), np.frombuffer(r["n"], np.float32)) for r in got]
     marks = np.array([r["quality"] for r in got], np.float64)

@@ -2,7 +2,9 @@
 
 A linear model on hashed words and word beginnings is trained from confirmed toxic examples and unlabelled text only; no row counts as
 confirmed harmless. The risk of the unlabelled rows as negatives is corrected by the class prior, and where the
-corrected part turns negative (overfitting), the step follows its negative instead, as in non-negative PU learning.
+corrected part turns negative (overfitting), the step follows its negative instead, as in non-negative PU learning. The
+prior is estimated from the same two samples: no share of toxic rows above it could leave so few unlabelled rows among
+the highest scores.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import ROW, sampled, staged, with_rows
 from .features import words
 
 #: Buckets of whole words, and of word beginnings.
@@ -121,33 +124,52 @@ def fit(positive: list[tuple], unlabelled: list[tuple], prior: float, epochs: in
     return Model(weight, bias, prior)
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """Train from the rows of docs that labels covers and `usable` (an expression on doc_id) admits.
+def estimated_prior(positive: list[tuple], unlabelled: list[tuple], guess: float = 0.05) -> float:
+    """Share of toxic rows among the unlabelled, without a single negative.
 
-    Up to `positives` rows with toxic = 1 are confirmed; up to `unlabelled` of all those rows, whatever their label, are
-    unlabelled text. Both samples are the rows of least xxhash64(doc_id). The prior is the share of toxic = 1 among all
-    usable labelled rows. Without a confirmed row, or if all are, the model scores every text with the prior.
+    Each half of the samples is scored by a model of the other half. Among unlabelled rows those over a threshold are at
+    least prior x the share of confirmed rows over it; so the least ratio of the two shares, over thresholds that half to
+    nearly all of the confirmed rows pass, bounds the prior, and is close where only toxic rows score so high.
+    """
+    ratios = []
+    for i in (0, 1):
+        p_fit, u_fit, p, u = positive[i::2], unlabelled[i::2], positive[1 - i :: 2], unlabelled[1 - i :: 2]
+        if not (p_fit and u_fit and p and u):
+            return guess
+        model = fit(p_fit, u_fit, guess, epochs=100)
+        s_p, s_u = np.sort(model.scores(p)), np.sort(model.scores(u))
+        passing = [(1 - np.searchsorted(s, s_p[int(q * len(s_p))], side="left") / len(s)) for q in np.arange(0.1, 0.55, 0.05) for s in (s_p, s_u)]
+        ratios.append(min((b + 1 / len(s_u)) / a for a, b in zip(passing[::2], passing[1::2])))
+    return float(np.clip(np.mean(ratios), 1e-3, 0.9))
+
+
+def train(docs: DataFrame, labels: DataFrame, usable: Column, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None) -> Model:
+    """Train from the rows of docs that `usable` (an expression on doc_id) admits.
+
+    Up to `positives` rows that labels marks toxic = 1 are confirmed; up to `unlabelled` of all admitted rows, labelled or
+    not, are unlabelled text. Both samples are the rows of least xxhash64(doc_id), however often ids repeat. No other
+    label is looked at. Without a `prior`, it is estimated from the two samples. Without a confirmed row or any text the
+    model scores every text with the prior (0.05 if none is given).
     """
-    marked = labels.where(usable & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n, toxic = marked.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    if not n or not toxic or toxic == n:
-        return unknown(toxic / n if n else 0)
     order = F.xxhash64("doc_id")
-    chosen = marked.where("toxic = 1").orderBy(order).limit(positives).select("doc_id", F.lit(1).alias("p"))
-    chosen = chosen.unionByName(marked.orderBy(order).limit(unlabelled).select("doc_id", F.lit(0).alias("p")))
+    confirmed = labels.where(usable & (F.col("toxic") == 1)).select("doc_id").distinct().orderBy(order).limit(positives)
+    rows = with_rows(docs.select("doc_id", "text")).where(usable)
+    some = staged(rows.select(ROW, order.alias("h")).orderBy("h", ROW).limit(unlabelled), "sample")
 
     def run(batches):  # only hashed features go to the driver, about 4 KB a row
         features = Features()
         for batch in batches:
-            rows = [features.of(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v in rows], pa.binary())], ["h", "p", "ids", "v"])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(order.alias("h"), "p", "text").mapInArrow(run, "h bigint, p int, ids binary, v binary")
-    got = rows.toArrow().sort_by([("h", "ascending"), ("ids", "ascending")])
-    p = got.column("p").to_pylist()
-    both = [(np.frombuffer(x, np.int32), np.frombuffer(v, np.float32)) for x, v in zip(got.column("ids").to_pylist(), got.column("v").to_pylist())]
-    positive, rest = [x for x, k in zip(both, p) if k], [x for x, k in zip(both, p) if not k]
-    return fit(positive, rest, toxic / n) if positive and rest else unknown(toxic / n)
+            found = [features.of(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], ["h", "ids", "v"])
+
+    def of(sample: DataFrame) -> list[tuple]:
+        got = sample.select("h", "text").mapInArrow(run, "h bigint, ids binary, v binary").toArrow().sort_by([("h", "ascending"), ("ids", "ascending")])
+        return [(np.frombuffer(x, np.int32), np.frombuffer(v, np.float32)) for x, v in zip(got.column("ids").to_pylist(), got.column("v").to_pylist())]
+
+    positive, rest = of(sampled(docs, confirmed, positives, "doc_id", "text")), of(rows.join(F.broadcast(some), ROW))
+    if not positive or not rest:
+        return unknown(0.05 if prior is None else prior)
+    return fit(positive, rest, estimated_prior(positive, rest) if prior is None else prior)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

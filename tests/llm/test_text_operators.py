@@ -539,6 +539,51 @@ def test_non_negative_risk():
     assert model.weight[1] > 1 and model.scores([row([1])])[0] > 0.7 > model.scores([row([])])[0]
 
 
+@pytest.mark.parametrize("prior", [0.2, 0.6])
+def test_steps_follow_the_risk(prior):
+    """The first step against numeric gradients; later ones keep the corrected part from falling far below zero."""
+    rng = np.random.default_rng(1)
+    row = lambda on: (np.array([*on, *rng.choice(np.arange(10, 60), 5, False)], np.int32), np.ones(5 + len(on), np.float32))
+    positive, rest = [row([1, 2]) for _ in range(60)], [row([1] if i % 4 == 0 else [2] if i % 7 == 0 else []) for i in range(300)]
+    used = toxicity.standing_out(positive, rest)
+    x_p, x_u = (np.array([[v[ids == f].sum() for f in used] for ids, v in rows]) for rows in (positive, rest))
+    bias = np.log(prior / (1 - prior))
+
+    def corrected(w):
+        return np.logaddexp(0, x_u @ w + bias).mean() - prior * np.logaddexp(0, x_p @ w + bias).mean()
+
+    def risk(w):
+        return prior * np.logaddexp(0, -(x_p @ w + bias)).mean() + corrected(w)
+
+    e = np.eye(len(used)) * 1e-6
+    grad = np.array([(risk(d) - risk(-d)) / 2e-6 for d in e])
+    w = toxicity.fit(positive, rest, prior, epochs=1, rate=0.1).weight[used]
+    assert w == pytest.approx(-0.1 * grad / np.sqrt(grad**2 + 1e-8), abs=2e-3)
+    model = toxicity.fit(positive, rest, prior, epochs=3000)
+    z_p, z_u = x_p @ model.weight[used] + model.bias, x_u @ model.weight[used] + model.bias
+    assert np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean() > -0.02
+
+
+def test_prior_without_negatives():
+    rng = np.random.default_rng(2)
+    row = lambda toxic: (np.unique(np.concatenate((rng.integers(100, 900, 30), rng.integers(0, 20, 4) if toxic else []))).astype(np.int32), None)
+    made = lambda n, share: [(ids, np.ones(len(ids), np.float32)) for ids, _ in (row(rng.random() < share) for _ in range(n))]
+    for share in (0.05, 0.2, 0.5):
+        assert toxicity.estimated_prior(made(400, 1), made(3000, share)) == pytest.approx(share, rel=0.35)
+    assert toxicity.estimated_prior(made(1, 1), made(1, 0)) == 0.05
+
+
+def test_samples_are_bounded_whatever_the_ids_repeat(spark):
+    d = spark.createDataFrame([(i % 4, f"text {i}", i) for i in range(400)] + [(None, "x", 1)], "doc_id bigint, text string, h int")
+    chosen = spark.createDataFrame([(0, "a"), (1, "b")], "doc_id bigint, mark string")
+    got = common.sampled(d, chosen, 7, "doc_id", "text")
+    assert got.count() == 7 and set(got.columns) == {"h", "text", "mark"}
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(4)], "doc_id bigint, quality int, toxic int")
+    assert len(quality.train(d, labels, F.lit(True), sample=6).labels) == 6
+    model = toxicity.train(d, labels, F.lit(True), 5, 5)
+    assert 0 < model.prior < 1 and toxicity.score(d, model).count() == 401
+
+
 def test_quality(spark):
     d, labels, _, good = labelled(spark)
     model = quality.train(d, labels, common.fold(F.col("doc_id"), 5) != 0)
