@@ -28,9 +28,16 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+#: Letters of scripts that write words without spaces between them.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+
+
 def token_estimate(text: Column) -> Column:
-    """Words and marks, and four tokens for the template."""
-    return F.regexp_count(text, F.lit(r"\w+|[^\w\s]")) + 4
+    """Tokens of a text in any script, and four for the template.
+
+    Pieces of up to eight letters or digits of a word, single letters of unspaced scripts, and single marks count one each.
+    """
+    return F.regexp_count(text, F.lit(rf"[{UNSPACED}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{UNSPACED}]]{{1,8}}|[^\p{{L}}\p{{M}}\p{{N}}\s]")) + 4
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens=token_estimate) -> DataFrame:
@@ -39,21 +46,26 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, toke
     turns: conv_id, turn, role, text. Null roles and texts count as empty; null conv_ids are one conversation; equal or
     null turns are ordered (nulls first) by role, then text. A first turn whose role is system opens every window.
     n_context counts the leading turns that are there for context only. loss holds (start, length) in characters of the
-    assistant texts to learn from. With G half of what the budget leaves beside the system turn and the history, a
-    turn over G tokens is a span of its own and the others share a span if their prefix sums fall into one stretch
-    of G: so a window keeps the budget, unless a single turn is beyond it; that turn is kept whole.
+    assistant texts to learn from. `tokens` gives a turn's tokens from its text, or names a column of turns that holds
+    them, of a tokenizer's own count, say. Of the room that the budget leaves beside the system turn and the history, a
+    turn over half is a span of its own; the others share a span if their prefix sums fall into one stretch of the room
+    less the conversation's largest such turn. So a window keeps the budget, unless a single turn is beyond it; that turn
+    is kept whole.
     """
     by = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     before, so_far = by.rowsBetween(W.unboundedPreceding, -1), by.rowsBetween(W.unboundedPreceding, 0)
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    df = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
-    df = df.withColumn("n", tokens(F.col("text"))).withColumn("i", F.row_number().over(by))
+    own = F.coalesce(F.col(tokens), F.lit(0)) if isinstance(tokens, str) else tokens(text)
+    df = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), own.cast("bigint").alias("n"))
+    df = df.withColumn("i", F.row_number().over(by))
     first_role, first_n = F.first("role").over(so_far), F.first("n").over(so_far)
     df = df.withColumn("system", F.when(first_role == "system", F.first("text").over(so_far)))
-    df = df.withColumn("room", F.greatest(F.lit(2), budget - history - F.when(first_role == "system", first_n).otherwise(0)) / 2)
+    df = df.withColumn("room", F.greatest(F.lit(2), budget - history - F.when(first_role == "system", first_n).otherwise(0)))
     df = df.withColumn("n", F.when((F.col("i") == 1) & F.col("system").isNotNull(), 0).otherwise(F.col("n")))
-    df = df.withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("big", (F.col("n") > F.col("room")).cast("int"))
-    df = df.withColumn("stretch", F.floor(F.col("from") / F.col("room")))
+    df = df.withColumn("big", (F.col("n") > F.col("room") / 2).cast("int"))
+    df = df.withColumn("most", F.max(F.when(F.col("big") == 0, F.col("n"))).over(W.partitionBy("conv_id")))
+    df = df.withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    df = df.withColumn("stretch", F.floor(F.col("from") / (F.col("room") - F.coalesce("most", F.lit(0)))))
     cut = F.coalesce((F.col("stretch") != F.lag("stretch").over(by)) | (F.col("big") == 1) | (F.lag("big").over(by) == 1), F.lit(True))
     df = df.withColumn("cut", (cut & (F.col("i") > 1)).cast("int")).withColumn("span", 1 + F.sum("cut").over(so_far))
     of_span, of_all = W.partitionBy("conv_id", "span"), W.partitionBy("conv_id")

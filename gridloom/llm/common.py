@@ -81,8 +81,9 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit else df
 
 
-def _of_one_scan(plan) -> bool:
-    """Whether a logical plan only filters and projects one relation of files."""
+def of_one_scan(df: DataFrame) -> bool:
+    """Whether df only filters and projects one relation of files."""
+    plan = df._jdf.queryExecution().analyzed()
     while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
         plan = plan.children().head()
     return plan.getClass().getSimpleName() == "LogicalRelation"
@@ -94,7 +95,7 @@ def with_rows(docs: DataFrame, name: str = ROW) -> DataFrame:
     It is the place in the file, (hash of the file's path, position), where docs filters and projects one table of
     files. Anything else is written to the shared folder first.
     """
-    if _of_one_scan(docs._jdf.queryExecution().analyzed()):
+    if of_one_scan(docs):
         try:
             return docs.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
         except AnalysisException:  # files of a kind that doesn't number its rows

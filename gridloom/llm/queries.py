@@ -50,12 +50,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens of every document, found in flat files alone; the files keep the order of the table's rows."""
-    docs, path = table(spark, sf_dir, "documents"), new_path(spark, "flat")
-    token_counts.write_flat(docs, path, *tokenizer(), SEPARATOR)
+    """doc_id, n_tokens of every document, found in flat files alone; which document is whose was written beside them."""
+    path = new_path(spark, "flat")
+    names = token_counts.write_named(table(spark, sf_dir, "documents"), path, *tokenizer(), SEPARATOR)
     found = token_counts.scan(spark, path, SEPARATOR).withColumn("shard", F.regexp_extract("file", r"part-(\d+)", 1).cast("int"))
-    # The same scan of the table gives the same partitions and order of rows, so the ids need no file of their own.
-    names = docs.select("doc_id", F.spark_partition_id().alias("shard"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("doc"))
     both = names.join(found.select("shard", "doc", "n_tokens"), ["shard", "doc"], "full")
     whole = F.when(F.col("n_tokens").isNotNull(), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a document is missing from the flat files")))
     return both.select("doc_id", whole.alias("n_tokens"), "shard", F.col("doc").alias("position"))

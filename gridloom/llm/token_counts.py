@@ -7,6 +7,8 @@ stitches those that cross block boundaries.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import held_encoder, shared_vocabulary
+from .common import of_one_scan, staged
 
 #: Ids in a block.
 BLOCK = 1 << 18
@@ -39,6 +42,36 @@ def write_flat(docs: DataFrame, path: str, ranks: dict[bytes, int], pattern: str
     flat.write.option("encoding", "ISO-8859-1").option("lineSep", separator.to_bytes(width, "little").decode("latin-1")).text(path)
 
 
+@contextmanager
+def fixed_splits(spark: SparkSession):
+    """Within it, scans of the same files are cut alike, also if executors come or go between them."""
+    keys = {"spark.sql.files.minPartitionNum": str(spark.sparkContext.defaultParallelism), "spark.sql.files.maxPartitionNum": None}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        if v and before[k] is None:
+            spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+
+
+def write_named(docs: DataFrame, path: str, ranks: dict[bytes, int], pattern: str, separator: int, key: str = "doc_id", text: str = "text", width: int = 2) -> DataFrame:
+    """Encode docs into flat files under path and return key, shard, doc: which document of which file each row became.
+
+    The names are written beside the files, from a scan of the same splits.
+    """
+    with fixed_splits(docs.sparkSession):
+        kept = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+        kept = kept if of_one_scan(kept) else staged(kept, "texts")  # any other plan may deal its rows anew each time
+        write_flat(kept, path, ranks, pattern, separator, "text", width)
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        names = staged(kept.select(F.col("key").alias(key), F.spark_partition_id().alias("shard"), place.alias("doc")), "names")
+    return names
+
+
 def scan(spark: SparkSession, path: str, separator: int, width: int = 2, block: int = BLOCK) -> DataFrame:
     """file, doc, first_token, n_tokens, terminated: the documents in the flat files under path, numbered from 0 in each.
 

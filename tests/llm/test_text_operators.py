@@ -398,6 +398,21 @@ def test_flat_files(spark, tmp_path):
         assert sorted(r.n_tokens for r in found) == sorted(len(ref.encode_ordinary(t or "")) for t in ODD) and all(r.terminated for r in found)
 
 
+def test_names_beside_flat_files(spark, tmp_path):
+    ranks, pattern, ref = reference()
+    source = f"file://{tmp_path}/docs"
+    d = docs(spark, [*ODD, *(f"text number {i} " * (i % 9) for i in range(200))]).withColumn("doc_id", F.when(F.col("doc_id") != 7, F.col("doc_id")))
+    d.repartition(5).write.parquet(source)
+    want = sorted((r.doc_id or -1, len(ref.encode_ordinary(r.text or ""))) for r in d.collect())
+    for n, table in enumerate((spark.read.parquet(source), d.repartition(3), d.limit(0))):
+        path = f"file://{tmp_path}/flat{n}"
+        names = token_counts.write_named(table, path, ranks, pattern, SEPARATOR)
+        found = token_counts.scan(spark, path, SEPARATOR).withColumn("shard", F.regexp_extract("file", r"part-(\d+)", 1).cast("int"))
+        got = sorted((r.doc_id or -1, r.n_tokens) for r in names.join(found, ["shard", "doc"], "full").collect())
+        assert got == (want if n < 2 else [])
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
 def test_scan_of_odd_files(spark, tmp_path):
     files = {"none": [], "only": [9], "tail": [1, 2, 9, 3], "open": [1, 2, 3, 4, 5], "gaps": [9, 9, 1, 9]}
     for name, ids in files.items():
@@ -447,6 +462,21 @@ def test_chat_budget(spark):
     assert out.where("window > 1 and n_context > 1").count() > 0
 
 
+def test_tokens_in_any_script(spark):
+    texts = {"one two, three!": 5, "раз два три": 3, "中文字母": 4, "ไทย": 3, "donaudampfschiff": 2, "": 0, "a\u0301 b": 2, "12 345": 2}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", (chat.token_estimate(F.col("t")) - 4).alias("n")).collect()
+    assert {r.t: r.n for r in got} == texts
+
+
+def test_windows_are_full(spark):
+    for word in ("word ", "слово ", "字"):
+        turns = spark.createDataFrame([(1, i, "user" if i % 2 else "assistant", word * 96) for i in range(300)], "conv_id bigint, turn bigint, role string, text string")
+        sizes = chat.windows(turns).select((chat.token_estimate(F.col("text"))).alias("n"), "window").where("window > 1").orderBy("window").collect()
+        assert min(r.n for r in sizes[:-1]) > 700 and len(sizes) < 60
+    counted = turns.withColumn("own", F.lit(900))
+    assert chat.windows(counted, tokens="own").count() == 300
+
+
 # WARC
 
 
