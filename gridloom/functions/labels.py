@@ -37,13 +37,29 @@ PATH_MATERIALS = ["BaseTiled", "Border", "Center"]
 HELIPAD_TYPES = ["None", "H", "Square", "Circle", "Medical"]
 TRUE_ANGLES = ["None", "Begin", "End", "BothEnds", "AllPoints"]
 VASI_CHILDREN = ["PrimaryLeft", "PrimaryRight", "SecondaryLeft", "SecondaryRight"]
+VASI_TYPES = ["Vasi21", "Vasi31", "Vasi22", "Vasi32", "Vasi33", "Papi1", "Papi2", "Tricolor", "PVasi", "TVasi", "Ball", "ApapPanels"]
+PAINTED_LINES = [
+    "Default", "HoldShortForward", "HoldShortBackward", "HoldShortForwardMarked", "HoldShortBackwardMarked", "IlsHoldShort", "EdgeLineSolid",
+    "EdgeLineDashed", "HoldShortTaxiway", "ServiceDashed", "EdgeServiceSolid", "EdgeServiceDashed", "WideYellow", "WideWhite", "WideRed",
+    "SlimRed", "EdgeSolidOrtho", "EdgeSolidOrthoBack", "NonMovement", "NonMovementBack", "EnhancedCenter", "DefaultLighted",
+    "HoldShortForwardMarkedL", "HoldShortBackwardMarkedL", "HoldShortForwardLighted", "HoldShortBackwardLighted", "IlsHoldShortLighted",
+    "EdgeLineSolidLighted", "EdgeLineDashedLighted", "HoldShortTaxiwayLighted", "ServiceDashedLighted", "EdgeServiceSolidLighted",
+    "EdgeServiceDashedLighted", "WideYellowLighted", "WideWhiteLighted", "WideRedLighted", "SlimRedLighted", "EdgeSolidOrthoLighted",
+    "EdgeSolidOrthoBackLight", "NonMovementLighted", "NonMovementBackLighted", "EnhancedCenterLighted",
+]
+LEG_TYPES = ["Af", "Ca", "Cd", "Cf", "Ci", "Cr", "Df", "Fa", "Fc", "Fd", "Fm", "Ha", "Hf", "Hm", "If", "Pi", "Rf", "Tf", "Va", "Vd", "Vi", "Vm", "Vr"]
+ALTITUDE_DESCRIPTORS = ["Empty", "A", "Plus", "Minus", "B", "C", "G", "H", "I", "J", "V"]
+TURN_DIRECTIONS = ["Null", "Left", "Right", "Either"]
+APPROACH_TYPES = ["Unknown", "Gps", "Vor", "Ndb", "Ils", "Localizer", "Sdf", "Lda", "Vordme", "Ndbdme", "Rnav", "LocalizerBackcourse"]
+FIX_TYPES = ["Unknown", "Airport", "Vor", "Ndb", "TerminalNdb", "Waypoint", "TerminalWaypoint", "Localizer", "Runway"]
 
 ENUMS = {
     "designator": DESIGNATORS, "surface": SURFACES, "runway_marking": RUNWAY_MARKINGS, "runway_light": RUNWAY_LIGHTS,
     "runway_pattern": RUNWAY_PATTERNS, "approach_light": APPROACH_LIGHTS, "start_type": START_TYPES, "taxi_point": TAXI_POINTS,
     "taxi_orientation": TAXI_ORIENTATIONS, "parking_name": PARKING_NAMES, "parking_pushback": PARKING_PUSHBACKS, "parking_type": PARKING_TYPES,
     "path_type": PATH_TYPES, "edge_type": EDGE_TYPES, "path_material": PATH_MATERIALS, "helipad_type": HELIPAD_TYPES, "true_angle": TRUE_ANGLES,
-    "vasi_child": VASI_CHILDREN,
+    "vasi_child": VASI_CHILDREN, "flag": FLAGS, "vasi_type": VASI_TYPES, "painted_line": PAINTED_LINES, "leg_type": LEG_TYPES,
+    "altitude_descriptor": ALTITUDE_DESCRIPTORS, "turn_direction": TURN_DIRECTIONS, "approach_type": APPROACH_TYPES, "fix_type": FIX_TYPES,
 }
 
 

@@ -137,6 +137,21 @@ def bearing(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return (F.degrees(F.atan2(lon2 - lon1, lat2 - lat1)) + 360) % 360
 
 
+def distance(ax: Column, ay: Column, az: Column, bx: Column, by: Column, bz: Column) -> Column:
+    """Straight distance of two points."""
+    return F.sqrt(F.pow(ax - bx, 2) + F.pow(ay - by, 2) + F.pow(az - bz, 2))
+
+
+def turned(heading: Column, by: float = 270.0) -> Column:
+    """A heading turned by some degrees; the sign follows the sum."""
+    return (heading + F.lit(by)) % 360
+
+
+def above_ground(alt: Column, labels: Column, elevation: Column) -> Column:
+    """The altitude of a placement: over the ground's elevation where its flags say so."""
+    return F.when(F.array_contains(labels, FLAGS[0]), alt + F.coalesce(elevation, F.lit(0.0))).otherwise(alt)
+
+
 def geodetic(x: Column, y: Column, z: Column) -> Column:
     """lat, lon (degrees) and alt of earth-centred coordinates."""
     a, e2 = WGS84_A, WGS84_E2
@@ -188,6 +203,26 @@ def file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\]*)$", 1)
 
 
+def stem(path: Column) -> Column:
+    """The file name without its extension."""
+    return F.regexp_replace(file_name(path), r"\.[^.]*$", "")
+
+
+def extension(path: Column) -> Column:
+    """The file name's extension with its dot; none: empty."""
+    return F.regexp_extract(file_name(path), r"(\.[^.]*)$", 1)
+
+
+def folder(path: Column) -> Column:
+    """What stands before the last slash of either kind; no slash: empty."""
+    return F.regexp_extract(path, r"^(.*)[/\\][^/\\]*$", 1)
+
+
+def mirrored(xyz: Column, axis: int) -> Column:
+    """A point (array) with one coordinate negated."""
+    return F.transform(xyz, lambda v, i: F.when(i == axis, -v).otherwise(v))
+
+
 def common_prefix(a: Column, b: Column, ignore_case: bool = True) -> Column:
     """Length of the common prefix: how many prefix lengths agree."""
     if ignore_case:

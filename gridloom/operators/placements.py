@@ -19,6 +19,29 @@ def centroids(placements: DataFrame) -> DataFrame:
     return placements.groupBy("tile").agg(mean("lat"), mean("lon"), mean("alt"), F.count("*").alias("placements"))
 
 
+def by_guid(placements: DataFrame, seq: Column, *columns: str) -> DataFrame:
+    """guid and the list of its placements (structs of the columns) in input order."""
+    grouped = placements.groupBy("guid").agg(F.array_sort(F.collect_list(F.struct(seq.alias("seq"), F.struct(*columns).alias("p")))).alias("l"))
+    return grouped.select("guid", F.col("l.p").alias("placements"))
+
+
+def grounded(placements: DataFrame, elevations: DataFrame, key: list[str], flags: str = "flags") -> DataFrame:
+    """placements with `alt` over ground where their flags say so. elevations: key, elevation (one row a key)."""
+    labels = scalars.flag_labels(F.col(flags))
+    return placements.join(elevations.select(*key, "elevation"), key, "left").withColumn("alt", scalars.above_ground(F.col("alt"), labels, F.col("elevation"))).drop("elevation")
+
+
+def instance_matrices(instances: DataFrame, heading: str = "heading", pitch: str = "pitch", bank: str = "bank", scale: str = "scale") -> DataFrame:
+    """instances with `matrix`: scaled, turned and moved by their offset (row-major, float)."""
+    c = F.col
+    return instances.withColumn("matrix", scalars.placement_matrix(c("offset"), c(heading), c(pitch), c(bank), c(scale)))
+
+
+def require_models(refs: DataFrame) -> bool:
+    """Whether there is anything to convert; without a single model a conversion stops before it writes."""
+    return not refs.isEmpty()
+
+
 def placed_models(models: DataFrame, placements: DataFrame) -> DataFrame:
     """Models that have a placement."""
     return models.join(placements.select("guid"), "guid", "left_semi")

@@ -40,13 +40,52 @@ def first_in(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where("rank = 1").drop("rank")
 
 
-def first_seen_ids(rows: DataFrame, key: Column, seq: str, first: int = 0) -> DataFrame:
-    """key, seen (its first seq), id: ids count the distinct keys in the order in which they first appear.
+def numbered(rows: DataFrame, order: str, name: str, first: int = 0, parts: int = 32) -> DataFrame:
+    """rows with `name`: consecutive numbers by a numeric, distinct order, without one task that sees all rows.
 
-    Ranks over distinct keys, of which there are few (materials, images); numbering needs one order for all.
+    Quantiles cut the order into ranges; each range counts its own rows, and the sums of the ranges before are added.
     """
+    cuts = rows.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    dealt = rows.withColumn("__part", part)
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))  # `parts` rows at most
+    base = sizes.select("__part", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    dealt = dealt.withColumn("__i", F.row_number().over(W.partitionBy("__part").orderBy(order)))
+    return dealt.join(F.broadcast(base), "__part").withColumn(name, (F.col("__base") + F.col("__i") - 1 + first).cast("int")).drop("__part", "__i", "__base")
+
+
+def first_seen_ids(rows: DataFrame, key: Column, seq: str, first: int = 0) -> DataFrame:
+    """key, seen (its first seq, a number), id: ids count the distinct keys in the order in which they first appear."""
     seen = rows.groupBy(key.alias("key")).agg(F.min(seq).alias("seen"))
-    return seen.withColumn("id", (F.row_number().over(W.orderBy("seen")) - 1 + first).cast("int"))
+    return numbered(seen, "seen", "id", first).select("key", "seen", "id")
+
+
+def merged_ids(rows: DataFrame, group: str, key: Column, seq: str, default: Column) -> DataFrame:
+    """group, seq and id of every row: rows of a group that share a key share an id, counted from 1 by first appearance.
+
+    Rows with the key `default` get 0, the entry that every merged list begins with.
+    """
+    keyed = rows.select(group, seq, key.alias("key"), (key == default).alias("plain"))
+    first = keyed.where(~F.col("plain")).groupBy(group, "key").agg(F.min(seq).alias("seen"))
+    ids = first.select(group, "key", F.row_number().over(W.partitionBy(group).orderBy("seen")).alias("id"))
+    return keyed.join(ids, [group, "key"], "left").select(group, seq, F.coalesce("id", F.lit(0)).alias("id"))
+
+
+def remapped(surfaces: DataFrame, ids: DataFrame, keys: list[str], column: str = "material") -> DataFrame:
+    """surfaces with the merged id in the place of a column; an id that isn't known stays as it is. ids: keys, column, id."""
+    return surfaces.join(ids, [*keys, column], "left").withColumn(column, F.coalesce("id", column)).drop("id")
+
+
+def concatenated(parts: DataFrame, group: str, order: list[str], data: str) -> DataFrame:
+    """group, base (of each part, in order), length: how buffers lie in their concatenation, and how long it is."""
+    sized = offsets(parts.withColumn("length", F.octet_length(data).cast("bigint")), group, order, "length")
+    return sized.withColumn("total", F.sum("length").over(W.partitionBy(group)))
+
+
+def first_named(handles: DataFrame, nodes: DataFrame, key: list[str]) -> DataFrame:
+    """handles (key, name, ...) with `node`: the first node (key, node, name) of that name, case aside; others are left out."""
+    first = nodes.groupBy(*key, F.lower("name").alias("__name")).agg(F.min("node").alias("node"))
+    return handles.withColumn("__name", F.lower("name")).join(first, [*key, "__name"]).drop("__name")
 
 
 def first_vertices(rows: DataFrame, group: str, key: list[str], seq: str, value: str) -> DataFrame:
@@ -65,9 +104,11 @@ def unique_names(rows: DataFrame, name: str, seq: str) -> DataFrame:
 def tree(spark: SparkSession, nodes: DataFrame, limit: int = 100) -> DataFrame:
     """node, root, depth, path of every node of a forest of nodes(node, parent), walked down from the roots.
 
-    Roots are the nodes whose parent is null or missing. Nodes on a cycle are never reached; `limit` bounds the depth.
+    Roots are the nodes whose parent is null or missing. Nodes on a cycle are never reached. A forest deeper than `limit`
+    stops the query with an error; its number of nodes does not limit it.
     """
     nodes.createOrReplaceTempView("__nodes")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # as many rows as there are nodes
     return spark.sql(f"""
         WITH RECURSIVE walk(node, root, depth, path) MAX RECURSION LEVEL {limit} AS (
             SELECT n.node, n.node, 0, CAST(n.node AS STRING) FROM __nodes n LEFT ANTI JOIN __nodes p ON n.parent = p.node

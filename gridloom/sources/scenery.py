@@ -68,18 +68,24 @@ def airports(found: DataFrame) -> DataFrame:
 
 
 def model_chunks(found: DataFrame, wanted: DataFrame, first_glb: bool = True) -> DataFrame:
-    """XML and GLB chunks of the wanted payloads (file, guid, offset, size); first_glb keeps one GLB of a chunk."""
-    picked = found.select("path", "content").join(wanted.withColumnRenamed("file", "path"), "path")
-    cut = picked.select("path", "guid", "offset", F.expr("substring(content, cast(offset + 1 as int), cast(size as int))").alias("payload"))
+    """XML and GLB chunks of the wanted payloads (file, guid, offset, size); first_glb keeps one GLB of a chunk.
+
+    A file meets the list of its own ranges, once, and the decoder cuts the payloads out.
+    """
+    ranges = wanted.groupBy(F.col("file").alias("path")).agg(F.sort_array(F.collect_set(F.struct("offset", "size", "guid"))).alias("ranges"))
+    picked = found.select("path", "content").join(ranges, "path")
 
     def run(batches):
         for pdf in batches:
-            for path, guid, offset, payload in zip(pdf["path"], pdf["guid"], pdf["offset"], pdf["payload"]):
-                out = [{"file": path, "guid": guid, "offset": offset} | c for c in decode.chunks(bytes(payload)) if not first_glb or not c["glb_no"]]
-                if out:
-                    yield pd.DataFrame(out).astype(object).where(lambda x: x.notna(), None)
+            for path, content, cuts in zip(pdf["path"], pdf["content"], pdf["ranges"]):
+                content = memoryview(content)
+                for cut in cuts:
+                    payload = bytes(content[cut["offset"] : cut["offset"] + cut["size"]])
+                    out = [{"file": path, "guid": cut["guid"], "offset": cut["offset"]} | c for c in decode.chunks(payload) if not first_glb or not c["glb_no"]]
+                    if out:
+                        yield pd.DataFrame(out).astype(object).where(lambda x: x.notna(), None)
 
-    return cut.mapInPandas(run, CHUNKS)
+    return picked.mapInPandas(run, CHUNKS)
 
 
 GLB = T.StructType([T.StructField("json", T.StringType()), T.StructField("bin", T.BinaryType())])
@@ -91,11 +97,15 @@ def split_glb(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([decode.split_glb(bytes(b)) if b is not None else None or (None, None) for b in data], columns=["json", "bin"])
 
 
+# Names of the fields of scene documents; the last ones of `materials` and `primitives` are a vendor's.
 GLTF = """struct<asset: struct<version: string>, scene: int, scenes: array<struct<nodes: array<int>>>,
     nodes: array<struct<name: string, mesh: int, children: array<int>, translation: array<double>, rotation: array<double>, scale: array<double>, matrix: array<double>>>,
-    meshes: array<struct<name: string, primitives: array<struct<indices: int, material: int, attributes: map<string, int>>>>>,
+    meshes: array<struct<name: string, primitives: array<struct<indices: int, material: int, attributes: map<string, int>, extras: struct<ASOBO_primitive: struct<BaseVertexIndex: int, StartIndex: int, PrimitiveCount: int>>>>>>,
     accessors: array<struct<bufferView: int, byteOffset: int, componentType: int, count: int, type: string>>, bufferViews: array<struct<buffer: int, byteOffset: int, byteLength: int, byteStride: int>>,
-    buffers: array<struct<uri: string, byteLength: int>>, materials: array<struct<name: string, doubleSided: boolean, pbrMetallicRoughness: struct<baseColorFactor: array<double>, metallicFactor: double, roughnessFactor: double>>>,
+    buffers: array<struct<uri: string, byteLength: int>>,
+    materials: array<struct<name: string, doubleSided: boolean, alphaMode: string, normalTexture: struct<index: int>, occlusionTexture: struct<index: int>, emissiveTexture: struct<index: int>, emissiveFactor: array<double>,
+        pbrMetallicRoughness: struct<baseColorFactor: array<double>, metallicFactor: double, roughnessFactor: double, baseColorTexture: struct<index: int>, metallicRoughnessTexture: struct<index: int>>,
+        extensions: struct<ASOBO_material_invisible: map<string, string>, ASOBO_material_environment_occluder: map<string, string>>>>,
     textures: array<struct<source: int>>, images: array<struct<uri: string>>>"""
 
 
@@ -109,6 +119,29 @@ def scenes(chunks: DataFrame) -> DataFrame:
     return split.where(full[0] & full[1] & full[2]).select("file", "guid", "offset", "chunk_no", "glb_no", "scene", F.col("g.bin").alias("bin"))
 
 
+def text_scenes(spark: SparkSession, root: str) -> DataFrame:
+    """file, guid (null), offset, chunk_no, glb_no (0), scene, bin of the glTF text files under root, without the empty ones.
+
+    bin joins a scene's buffers in their order, external files (beside the scene) and base64 texts alike, and the scene's
+    views count from its start. A scene of which a buffer is missing or a JSON doesn't parse is left out.
+    """
+    found = files(spark, root, "gltf").select(F.col("path").alias("file"), F.from_json(F.decode("content", "UTF-8"), GLTF).alias("scene"))
+    found = found.where((F.size("scene.meshes") > 0) & (F.size("scene.accessors") > 0) & (F.size("scene.bufferViews") > 0))
+    parts = found.select("file", F.posexplode("scene.buffers").alias("i", "b")).select("file", "i", "b.uri", "b.byteLength")
+    inline = F.col("uri").startswith("data:")
+    packed = parts.where(inline).select("file", "i", F.unbase64(F.substring_index("uri", ",", -1)).alias("data"))
+    beside = parts.where(~inline).withColumn("path", F.concat(scalars.folder(F.col("file")), F.lit("/"), F.replace("uri", F.lit("\\"), F.lit("/"))))
+    stored = beside.join(files(spark, root, "bin").select("path", F.col("content").alias("data")), "path").select("file", "i", "data")
+    joined = packed.unionByName(stored).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("i", "data"))).alias("p"))
+    held = found.join(joined, "file").where(F.size("p") == F.size("scene.buffers"))
+    base = lambda buffer: F.aggregate(F.slice("p", F.lit(1), buffer), F.lit(0), lambda n, x: n + F.octet_length(x["data"]))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    views = F.transform("scene.bufferViews", lambda v: v.withField("byteOffset", zero(v["byteOffset"]) + base(zero(v["buffer"]))).withField("buffer", F.lit(0)))
+    whole = F.aggregate("p", F.lit(b""), lambda out, x: F.concat(out, x["data"]))
+    nil = F.lit(0)
+    return held.select("file", F.lit(None).cast("string").alias("guid"), nil.cast("long").alias("offset"), nil.alias("chunk_no"), nil.alias("glb_no"), F.col("scene").withField("bufferViews", views).alias("scene"), whole.alias("bin"))
+
+
 def model_info(chunks: DataFrame) -> DataFrame:
     """file, guid, offset, name, lods (file, min_size) of the XML chunks; sizes that aren't numbers are left out."""
     xml = chunks.where("chunk = 'GXML'").withColumn("xml", F.decode("data", "UTF-8"))
@@ -121,9 +154,13 @@ def model_info(chunks: DataFrame) -> DataFrame:
 def terrain(spark: SparkSession, root: str, extension: str = "btg*") -> DataFrame:
     """file, tile, centre, vertices and triangles of the meshes (plain or gzip) under a local mesh folder.
 
-    The tile is the number at the start of a file's name. A file that isn't a mesh gives no row.
+    The tile is the number at the start of a file's name. A file that isn't a mesh gives no row, nor does a missing root.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{extension}").load(root)
+    return terrain_meshes(files(spark, root, extension))
+
+
+def terrain_meshes(found: DataFrame) -> DataFrame:
+    """terrain() of files (path, content)."""
     schema = "file string, centre array<double>, vertices array<array<double>>, triangles array<array<int>>"
 
     def run(batches):
@@ -159,7 +196,12 @@ def sim_configs(spark: SparkSession, root: str) -> DataFrame:
     found = files(spark, root, "cfg").where(F.lower(scalars.file_name(F.col("path"))) == "sim.cfg").select("path", F.decode("content", "UTF-8").alias("text"))
     block = r"(?i)title=[^\r\n]*\r?\n(?:model=[^\r\n]*\r?\n)?(?:texture=[^\r\n]*)?"
     blocks = found.select("path", F.explode(F.regexp_extract_all("text", F.lit(block), F.lit(0))).alias("b"))
-    value = lambda key: F.trim(F.regexp_extract("b", rf"(?im)^{key}=([^\r\n]*)", 1)).alias(key)
+    return config_values(blocks, "b")
+
+
+def config_values(blocks: DataFrame, text: str) -> DataFrame:
+    """path, title, model, texture of blocks of `key=value` lines."""
+    value = lambda key: F.trim(F.regexp_extract(text, rf"(?im)^{key}=([^\r\n]*)", 1)).alias(key)
     return blocks.select("path", value("title"), value("model"), value("texture"))
 
 
@@ -176,16 +218,17 @@ def object_xml(objects: DataFrame, xml: str = "xml") -> DataFrame:
     """objects with what their XML says: lods (file, min_size), is_jetway, chains (name, start, end), reach.
 
     The XML may have several roots. Sizes are read under either spelling, and those that aren't numbers count as 0.
-    is_jetway needs all three chains; reach sums the spans of the X constraints; rotation is the first Bank constraint.
+    is_jetway needs all three chains; reach sums the spans of the X constraints; rotation is the first Bank constraint that isn't zero at both ends.
     """
     doc = F.concat(F.lit("<r>"), F.regexp_replace(F.col(xml), r"<\?xml[^>]*\?>", ""), F.lit("</r>"))
     texts = lambda path: F.xpath("__doc", F.lit(path))
     one = lambda path: F.xpath_string("__doc", F.lit(path))
-    number = lambda path: F.transform(texts(path), lambda v: v.cast("double"))
+    number = lambda path: F.transform(texts(path), lambda v: v.try_cast("double"))
     chains = F.array(*[F.struct(F.lit(c).alias("name"), one(f"(//IKChain[@Name='{c}']//Start)[1]").alias("start"), one(f"(//IKChain[@Name='{c}']//End)[1]").alias("end")) for c in CHAINS])
     sizes = F.coalesce(F.nullif(texts("//LOD/@MinSize"), F.array().cast("array<string>")), texts("//LOD/@minSize"))
     lods = F.transform(F.arrays_zip(texts("//LOD/@ModelFile").alias("file"), sizes.alias("min_size")), lambda x: F.struct(x["file"].alias("file"), F.coalesce(x["min_size"].try_cast("int"), F.lit(0)).alias("min_size")))
     spans = F.zip_with(number("//IKConstraint//X/@max"), number("//IKConstraint//X/@min"), lambda hi, lo: hi - lo)
     out = objects.withColumn("__doc", doc).withColumns({"lods": lods, "chains": chains, "reach": F.aggregate(spans, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))})
-    out = out.withColumn("rotation", F.struct(F.get(number("//IKConstraint//Bank/@max"), F.lit(0)).alias("max"), F.get(number("//IKConstraint//Bank/@min"), F.lit(0)).alias("min")))
+    turns = F.filter(F.zip_with(number("//IKConstraint//Bank/@max"), number("//IKConstraint//Bank/@min"), lambda hi, lo: F.struct(F.coalesce(hi, F.lit(0.0)).alias("max"), F.coalesce(lo, F.lit(0.0)).alias("min"))), lambda t: (t["max"] != 0) | (t["min"] != 0))
+    out = out.withColumn("rotation", F.get(turns, F.lit(0)))
     return out.withColumn("is_jetway", F.forall("chains", lambda c: c["start"] != "")).drop("__doc")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import grid, scalars
@@ -51,11 +51,11 @@ def ac_lines(objects: DataFrame, vertices: DataFrame, surfaces: DataFrame, mater
     rgb = F.concat_ws(" ", n(F.col("r")), n(F.col("g")), n(F.col("b")))
     spec = F.concat_ws(" ", *[n(F.col("spec"))] * 3)
     mat = materials.select("doc", seq(1, F.col("id"), 0, 0).alias("seq"), F.concat(F.lit('MATERIAL "'), scalars.clean_name(F.col("name")), F.lit('" rgb '), rgb, F.lit(" amb "), F.concat_ws(" ", *[n(F.col(x) * 0.2) for x in "rgb"]), F.lit(" emis 0 0 0 spec "), spec, F.lit(" shi "), F.col("shininess").cast("string"), F.lit(" trans "), n(F.col("transparency"))).alias("value"))
-    count = objects.groupBy("doc").agg(F.count("*").alias("k"))
-    world = count.select("doc", seq(2, 0, 0, 0).alias("seq"), F.concat(F.lit("OBJECT world\nkids "), F.col("k").cast("string")).alias("value"))
     nv = vertices.groupBy("doc", "object").agg(F.count("*").alias("nv"))
     ns = surfaces.groupBy("doc", "object").agg(F.count("*").alias("ns"))
     full = objects.join(nv, ["doc", "object"]).join(ns, ["doc", "object"])  # an object without surfaces isn't written
+    count = objects.select("doc").distinct().join(full.groupBy("doc").agg(F.count("*").alias("k")), "doc", "left")  # only what is written counts
+    world = count.select("doc", seq(2, 0, 0, 0).alias("seq"), F.concat(F.lit("OBJECT world\nkids "), F.coalesce("k", F.lit(0)).cast("string")).alias("value"))
     obj = full.select("doc", seq(3, F.col("object"), 0, 0).alias("seq"), F.concat(F.lit('OBJECT poly\nname "'), scalars.clean_name(F.col("name")), F.lit('"\nnumvert '), F.col("nv").cast("string")).alias("value"))
     kept = full.select("doc", "object", "ns")
     vert = vertices.join(kept, ["doc", "object"]).select("doc", seq(3, F.col("object"), 1, F.col("vertex")).alias("seq"), F.concat_ws(" ", n(-F.col("x")), n(F.col("y")), n(F.col("z"))).alias("value"))
@@ -84,6 +84,13 @@ def script(template: str, values: dict[str, Column]) -> Column:
     return F.array_join(F.array(*lines), "\n")
 
 
-def texture_copies(textures: DataFrame) -> DataFrame:
-    """src, dst of each texture once: the copies to make, skipping those that exist already."""
-    return textures.select("src", "dst").distinct()
+def texture_copies(textures: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """src, dst of each texture once: the copies to make, without those whose dst is in present (path) already."""
+    wanted = textures.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst")
+    return wanted if present is None else wanted.join(present.select(F.col("path").alias("dst")), "dst", "left_anti").select("src", "dst")
+
+
+def observed(df: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, Observation]:
+    """df, and an observation that holds its rows and the counters given once an action has run: progress and log figures."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in counters.items()]), seen

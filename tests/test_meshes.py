@@ -48,5 +48,38 @@ def test_materials_and_textures(scenes):
     a, b = meshes.materials(scenes.where("doc = 1"), KEY).orderBy("material").collect()
     assert (a.name, a.r, a.g, a.shininess, a.transparency, a.two_sided) == ("a_b", 1.0, 0.5, 64, 0.75, True)
     assert a.specular == pytest.approx(0.54) and (b.name, b.shininess, b.transparency, b.two_sided) == ("Unnamed", 0, 0.0, False)
-    t = meshes.texture_rewrites(scenes.where("doc = 1"), KEY).orderBy("id").collect()
-    assert [(r.uri, r.out, r.id) for r in t] == [("t/wall.png", "wall.dds", 0), ("t/roof.png", "roof.dds", 1)]
+    slots = meshes.texture_slots(scenes.where("doc = 1"), KEY)
+    assert slots.count() == 0
+
+
+def test_depth_and_cycles(spark):
+    deep = {"nodes": [{"children": [i + 1], "translation": [1, 0, 0]} for i in range(300)] + [{"mesh": 0, "translation": [1, 0, 0]}]}
+    twice = {"nodes": [{"children": [2]}, {"children": [2]}, {"mesh": 1}]}
+    df = spark.createDataFrame([(1, json.dumps(deep)), (2, json.dumps(twice))], "doc int, json string").select("doc", F.from_json("json", scenery.GLTF).alias("scene"))
+    got = meshes.world(df, KEY).where("mesh is not null").collect()
+    assert [r.matrix[12] for r in got if r.doc == 1] == [301.0] and sum(r.doc == 2 for r in got) == 2
+    loop = spark.createDataFrame([(1, json.dumps({"nodes": [{"children": [1]}, {"children": [0]}]}))], "doc int, json string").select("doc", F.from_json("json", scenery.GLTF).alias("scene"))
+    with pytest.raises(Exception, match="cycle"):
+        meshes.world(loop, KEY).collect()
+
+
+def test_normals_ranges_and_visibility(spark):
+    buffer = struct.pack("<9f", 0, 0, 0, 1, 0, 0, 0, 1, 0) + struct.pack("<12b", 0, 0, 127, 0, 0, -127, 0, 0, 0, 127, 0, 0) + struct.pack("<9H", 0, 1, 2, 2, 1, 0, 0, 2, 1)
+    ranged = {"indices": 2, "material": 0, "attributes": {"POSITION": 0, "NORMAL": 1, "TANGENT": 1}, "extras": {"ASOBO_primitive": {"StartIndex": 3, "PrimitiveCount": 1}}}
+    scene = {
+        "meshes": [{"primitives": [ranged, {"indices": 2, "material": 1, "attributes": {"POSITION": 0}}, {"indices": 2, "material": 2, "attributes": {"POSITION": 0}}]}],
+        "accessors": [{"bufferView": 0, "componentType": 5126, "count": 3, "type": "VEC3"}, {"bufferView": 1, "componentType": 5120, "count": 3, "type": "VEC4"}, {"bufferView": 2, "componentType": 5123, "count": 9, "type": "SCALAR"}],
+        "bufferViews": [{"byteLength": 36}, {"byteOffset": 36, "byteLength": 12}, {"byteOffset": 48, "byteLength": 18}],
+        "materials": [{"normalTexture": {"index": 0}, "pbrMetallicRoughness": {"baseColorTexture": {"index": 1}}}, {"extensions": {"ASOBO_material_invisible": {}}, "emissiveTexture": {"index": 0}}, {}],
+        "textures": [{"source": 1}, {"source": 0}], "images": [{"uri": "a/Wall.PNG"}, {"uri": "b\\bump.png"}],
+    }
+    df = spark.createDataFrame([(1, json.dumps(scene), buffer)], "doc int, json string, bin binary").select("doc", F.from_json("json", scenery.GLTF).alias("scene"), "bin")
+    parts = meshes.primitives(df, KEY)
+    a, b, c = parts.orderBy("primitive").collect()
+    assert a.normals == [[0, 0, 127], [0, -127, 0], [0, 127, 0]] and a.tangents[1] == [0, -127, 0, 0] and b.normals is None
+    assert (a.start, a["count"], a.base, b["count"]) == (3, 1, None, None) and (a.visible, b.visible, c.visible) == (True, False, True)
+    assert parts.where("primitive = 0").select(meshes.facing_back(F.col("normals")).alias("n")).first().n[1] == [0, 127, 0]
+    rows = lambda strict: sorted((r.primitive, r.a, r.b, r.c) for r in meshes.surfaces(parts, F.col("start"), F.col("count"), F.col("base"), KEY, strict).collect())
+    assert rows(False) == [(0, 2, 0, 1), *((p, *t) for p in (1, 2) for t in ((0, 1, 2), (0, 2, 1), (2, 0, 1)))] and rows(True) == [(0, 2, 0, 1)]
+    t = meshes.texture_rewrites(meshes.texture_slots(df, KEY), KEY).orderBy("material", "slot").collect()
+    assert [(r.material, r.channel, r.image, r.out) for r in t] == [(0, "baseColorTexture", 0, "Wall.dds"), (0, "normalTexture", 1, "bump.dds"), (1, "emissiveTexture", 1, "bump.dds")]
