@@ -195,6 +195,12 @@ def number_text(x: Column) -> Column:
     return F.when(text == "-0", "0").otherwise(text)
 
 
+def json_field(text: Column, field: str, kind: str, default: object = None) -> Column:
+    """A field of a JSON text; where it is missing, or the text isn't JSON, the default."""
+    value = F.from_json(text, f"`{field}` {kind}")[field]
+    return value if default is None else F.coalesce(value, F.lit(default))
+
+
 def clean_name(name: Column) -> Column:
     return F.coalesce(F.nullif(F.replace(name, F.lit('"'), F.lit("_")), F.lit("")), F.lit("Unnamed"))
 

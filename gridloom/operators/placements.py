@@ -57,12 +57,22 @@ def ranked_refs(refs: DataFrame, *order: str) -> DataFrame:
     return refs.withColumn("rank", F.row_number().over(W.partitionBy("tile").orderBy(F.desc("size"), *order)))
 
 
-def instances(refs: DataFrame, placements: DataFrame) -> DataFrame:
-    """Every placement of every model of a tile, with its offset in metres from the tile's centroid."""
+def from_origin(placed: DataFrame, placements: DataFrame) -> DataFrame:
+    """placed with `offset`, in metres from its tile's centroid over all placements."""
     origin = centroids(placements).select("tile", F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), F.col("alt").alias("alt0"))
-    placed = refs.join(placements, ["tile", "guid"]).join(origin, "tile")
     d = lambda c: F.col(c).cast("double")
-    return placed.withColumn("offset", scalars.local_offset(F.col("lon"), F.col("lat"), F.col("alt"), d("lon0"), d("lat0"), d("alt0")))
+    offset = scalars.local_offset(F.col("lon"), F.col("lat"), F.col("alt"), d("lon0"), d("lat0"), d("alt0"))
+    return placed.join(origin, "tile").withColumn("offset", offset)
+
+
+def instances(refs: DataFrame, placements: DataFrame) -> DataFrame:
+    """Every placement of every model of a tile, with its offset in metres from the tile's centroid."""
+    return from_origin(refs.join(placements, ["tile", "guid"]), placements)
+
+
+def model_instances(models: DataFrame, placements: DataFrame) -> DataFrame:
+    """instances(model_refs(models, placements), placements), by one join: a model's tiles are those of its placements."""
+    return from_origin(models.join(placements, "guid"), placements)
 
 
 def sim_groups(sims: DataFrame, seq: str) -> DataFrame:
@@ -108,12 +118,42 @@ def nearest_ancestor(paths: DataFrame, folders: DataFrame) -> DataFrame:
     return spread.join(folders.select("folder").distinct(), "folder").groupBy("path").agg(F.max_by("folder", F.length("folder")).alias("folder"))
 
 
+def union_objects(placements: DataFrame, sims: DataFrame) -> DataFrame:
+    """kind, name (guid or title), tile of placements and sim objects in one bag."""
+    p = placements.select(F.lit("placement").alias("kind"), F.col("guid").cast("string").alias("name"), "tile")
+    return p.unionByName(sims.select(F.lit("sim").alias("kind"), F.col("title").alias("name"), "tile"))
+
+
+def guids_without_model(placements: DataFrame, models: DataFrame) -> DataFrame:
+    """guid of every placement's model that there is none of, once."""
+    return placements.select("guid").subtract(models.select("guid"))
+
+
+def nearest_door(jetways: DataFrame, doors: DataFrame, key: str, limit: int = 1000) -> DataFrame:
+    """key, door, dist (metres), heading: the nearest of an aircraft's doors for each jetway (lon, lat, alt).
+
+    doors (door, dlon, dlat, dalt) are those of one aircraft; more than `limit` of them are refused, as every jetway is
+    compared with each.
+    """
+    if doors.limit(limit + 1).count() > limit:
+        raise ValueError(f"an aircraft has at most {limit} doors")
+    c = F.col
+    pairs = jetways.crossJoin(F.broadcast(doors))
+    over = scalars.haversine(c("lon"), c("lat"), c("dlon"), c("dlat"))
+    dist, heading = F.sqrt(F.pow(over, 2) + F.pow(c("dalt") - c("alt"), 2)), scalars.bearing(c("lon"), c("lat"), c("dlon"), c("dlat"))
+    best = pairs.groupBy(key).agg(F.min(F.struct(dist.alias("dist"), "door", heading.alias("heading"))).alias("b"))
+    return best.select(key, "b.door", "b.dist", "b.heading")
+
+
 def best_prefix(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """For each wanted(name, path) the file(name, file) of the same name, case aside, with the longest common prefix.
 
     Ties go to the file that comes first. A wanted row without a file of its name is left out.
     """
-    pairs = wanted.join(files.withColumnRenamed("name", "file_name"), F.lower("name") == F.lower("file_name"))
-    pairs = pairs.withColumn("prefix", scalars.common_prefix(F.col("path"), F.col("file")))
-    best = F.min_by(F.struct("file", "prefix"), F.struct((-F.col("prefix")).alias("p"), "file"))
-    return pairs.groupBy("name", "path").agg(best.alias("b")).select("name", "path", "b.file", "b.prefix")
+    named = files.select(F.lower("name").alias("key"), "file", F.lower("file").alias("low"))
+    # Distinct prefixes of the files meet those of the wanted paths: an equi-join, the longest meeting one wins.
+    cut = lambda c: F.transform(F.sequence(F.lit(0), F.length(c)), lambda n: F.left(c, n))
+    first = named.select("key", "file", F.explode(cut(F.col("low"))).alias("head")).groupBy("key", "head").agg(F.min("file").alias("file"))
+    asked = wanted.select("name", "path", F.lower("name").alias("key"), F.explode(cut(F.lower("path"))).alias("head"))
+    best = F.max_by(F.struct("file", F.length("head").alias("prefix")), F.length("head"))
+    return asked.join(first, ["key", "head"]).groupBy("name", "path").agg(best.alias("b")).select("name", "path", "b.file", "b.prefix")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bytewise, grid, labels, scalars
-from ..operators import elevation, placements, scene
+from ..operators import elevation, meshes, placements, scene
+from ..sources import scenery, sinks
 from . import standins as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,10 +33,12 @@ def c(name: str):
 # Grid and fields
 
 
-@query(f"WITH {S.PLACEMENTS} SELECT tile, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, round(avg(alt), 6) AS alt, count(*) AS placements FROM placements GROUP BY tile")
+_MEAN = lambda x, places: f"round(CAST(CAST(avg({x}) AS FLOAT) AS DOUBLE), {places}) AS {x}"
+
+
+@query(f"WITH {S.PLACEMENTS} SELECT tile, {', '.join(_MEAN(x, 5) for x in ('lat', 'lon', 'alt'))}, count(*) AS placements FROM placements GROUP BY tile")
 def tile_centroid(spark, d):
-    p = S.placements(spark, d)
-    return p.groupBy("tile").agg(*[F.round(F.avg(x), 6).alias(x) for x in ("lat", "lon", "alt")], F.count("*").alias("placements"))
+    return placements.centroids(S.placements(spark, d)).select("tile", *[F.round(c(x).cast("double"), 5).alias(x) for x in ("lat", "lon", "alt")], "placements")
 
 
 @query(
@@ -161,13 +164,8 @@ def _haversine_sql(lon1, lat1, lon2, lat2):
     SELECT vid, door, round(dist, 3) AS dist, round((degrees(atan2(dlon - lon, dlat - lat)) + 360) % 360, 6) AS heading FROM pairs QUALIFY row_number() OVER (PARTITION BY vid ORDER BY dist, door) = 1"""
 )
 def haversine_door(spark, d):
-    """The aircraft's doors are a handful of rows, so every jetway is compared with each."""
     doors = S.read(spark, d, "nation").selectExpr("n_nationkey AS door", "-123.2D + n_nationkey * 0.03D AS dlon", "37.0D + n_nationkey * 0.02D AS dlat", "5D AS dalt")
-    pairs = S.vertices(spark, d).crossJoin(F.broadcast(doors))
-    dist = F.sqrt(F.pow(scalars.haversine(c("lon"), c("lat"), c("dlon"), c("dlat")), 2) + F.pow(c("dalt") - c("alt"), 2))
-    heading = scalars.bearing(c("lon"), c("lat"), c("dlon"), c("dlat"))
-    best = pairs.withColumn("dist", dist).groupBy("vid").agg(F.min(F.struct("dist", "door", heading.alias("heading"))).alias("b"))
-    return best.select("vid", "b.door", F.round("b.dist", 3).alias("dist"), F.round("b.heading", 6).alias("heading"))
+    return placements.nearest_door(S.vertices(spark, d), doors, "vid").select("vid", "door", F.round("dist", 3).alias("dist"), F.round("heading", 6).alias("heading"))
 
 
 @query(
@@ -201,7 +199,7 @@ def model_refs_by_tile(spark, d):
 )
 def model_instances(spark, d):
     p = S.placements(spark, d)
-    out = placements.instances(placements.model_refs(S.models(spark, d, True), p), p)
+    out = placements.model_instances(S.models(spark, d, True), p)
     return out.select("tile", "guid", "file", *S.SEQ, *[F.round(f"offset.{k}", 3).alias(k) for k in ("dx", "dy", "dz")])
 
 
@@ -244,14 +242,12 @@ def total_models(spark, d):
     UNION ALL SELECT 'sim', title, tile, count(*) FROM sims GROUP BY title, tile"""
 )
 def union_placements(spark, d):
-    p = S.placements(spark, d).select(F.lit("placement").alias("kind"), c("guid").cast("string").alias("name"), "tile")
-    s = S.sims(spark, d).select(F.lit("sim").alias("kind"), c("title").alias("name"), "tile")
-    return p.unionByName(s).groupBy("kind", "name", "tile").agg(F.count("*").alias("n"))
+    return placements.union_objects(S.placements(spark, d), S.sims(spark, d)).groupBy("kind", "name", "tile").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {S.PLACEMENTS}, {S.MODELS} SELECT guid FROM placements EXCEPT SELECT guid FROM models")
 def set_difference(spark, d):
-    return S.placements(spark, d).select("guid").subtract(S.models(spark, d).select("guid"))
+    return placements.guids_without_model(S.placements(spark, d), S.models(spark, d))
 
 
 @query(
@@ -318,14 +314,15 @@ def elevation_nearest(spark, d):
 # Scene documents
 
 
-@query(
-    """WITH e AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings), chain AS (SELECT vec_id, vec_id % 64 AS view, (vec_id * 7) % 64 AS buffer FROM embeddings)
-    SELECT k.vec_id, round(CAST(a.v AS DOUBLE), 6) AS view_value, round(CAST(b.v AS DOUBLE), 6) AS buffer_value FROM chain k LEFT JOIN e a ON a.vec_id = k.vec_id AND a.pos = k.view LEFT JOIN e b ON b.vec_id = k.vec_id AND b.pos = k.buffer"""
-)
+@query("SELECT vec_id, CASE WHEN vec_id % 70 < 64 THEN vec_id % 70 * 12 ELSE 0 END + vec_id % 5 * 4 AS at, CASE WHEN vec_id % 70 < 64 THEN vec_id % 70 % 3 * 8 ELSE 0 END AS stride, vec_id % 11 AS n FROM embeddings")
 def index_chain(spark, d):
-    e = S.read(spark, d, "embeddings")
-    at = lambda k: F.round(F.get("embedding", k.cast("int")).cast("double"), 6)
-    return e.select("vec_id", at(c("vec_id") % 64).alias("view_value"), at((c("vec_id") * 7) % 64).alias("buffer_value"))
+    """Primitive to accessor to view, through the arrays of a scene; a dangling view counts as none."""
+    i32 = lambda x: F.expr(f"cast({x} as int)")
+    views = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.struct((i * 12).alias("byteOffset"), (i % 3 * 8).alias("byteStride")))
+    accessors = F.array(F.struct(i32("vec_id % 70").alias("bufferView"), i32("vec_id % 5 * 4").alias("byteOffset"), i32("vec_id % 11").alias("count"), F.lit(5126).alias("componentType")))
+    e = S.read(spark, d, "embeddings").select("vec_id", F.struct(accessors.alias("accessors"), views.alias("bufferViews")).alias("scene"))
+    at, stride, n, _ = meshes.located(meshes.at(F.col("scene.accessors"), F.lit(0)))
+    return e.select("vec_id", at.cast("bigint").alias("at"), stride.cast("bigint").alias("stride"), n.cast("bigint").alias("n"))
 
 
 @query(
@@ -405,8 +402,7 @@ def unique_names(spark, d):
 
 @query("SELECT event_id, CAST(coalesce(json_extract_string(props, '$.k'), '0') AS INTEGER) AS k, json_extract_string(props, '$.missing') AS missing FROM events")
 def json_fields(spark, d):
-    parsed = F.from_json("props", "k int, missing string")
-    return S.read(spark, d, "events").select("event_id", F.coalesce(parsed["k"], F.lit(0)).alias("k"), parsed["missing"].alias("missing"))
+    return S.read(spark, d, "events").select("event_id", scalars.json_field(c("props"), "k", "int", 0).alias("k"), scalars.json_field(c("props"), "missing", "string").alias("missing"))
 
 
 @query(
@@ -422,17 +418,31 @@ def xml_attr(spark, d):
     return scene.best_lod(lods)
 
 
-@query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS INTEGER) AS links FROM pages""")
+@query("SELECT p_brand AS path, p_name AS title, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type END AS model, CASE WHEN p_partkey % 3 = 1 THEN CAST(p_size AS VARCHAR) ELSE '' END AS texture FROM part")
 def regex_extract(spark, d):
-    return S.read(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("links"))
+    """Blocks of config texts; of a block's lines only the title has to be there."""
+    part = S.read(spark, d, "part")
+    model = F.when(c("p_partkey") % 3 != 0, F.format_string("MODEL= %s \r\n", "p_type")).otherwise("")
+    texture = F.when(c("p_partkey") % 3 == 1, F.format_string("texture=%d", "p_size")).otherwise("")
+    block = F.concat(F.format_string("[fltsim.%d]\r\ntitle= %s\r\n", "p_partkey", "p_name"), model, texture)
+    texts = part.groupBy(c("p_brand").alias("path")).agg(F.array_join(F.collect_list(block), "\n").alias("text"))
+    return scenery.config_blocks(texts)
 
 
-@query()
+@query("SELECT doc_id, array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN unicode(c) BETWEEN 32 AND 126 THEN c ELSE repeat(' ', strlen(c)) END), '') AS text FROM documents")
 def ascii_scrub(spark, d):
     return S.read(spark, d, "documents").select("doc_id", bytewise.printable(c("text").cast("binary")).alias("text"))
 
 
-@query()
+_HALF = lambda x: f"CASE WHEN {x} < 0 THEN CAST('18446744073709551616' AS UHUGEINT) - CAST(-{x} AS UHUGEINT) ELSE CAST({x} AS UHUGEINT) END"
+_POWER = lambda k: f"CAST('{62**k}' AS UHUGEINT)"
+_DIGITS = " || ".join(f"CASE WHEN seed >= {_POWER(k + 1)} THEN substr('{bytewise.DIGITS}', CAST((seed // {_POWER(k)}) % 62 AS BIGINT) + 1, 1) ELSE '' END" for k in range(21))
+
+
+@query(
+    f"""WITH {S.SIMS}, h AS (SELECT seq, CAST(trunc(CAST(lat AS FLOAT) * CAST(100000 AS FLOAT)) AS BIGINT) AS high, CAST(trunc(CAST(lon AS FLOAT) * CAST(100000 AS FLOAT)) AS BIGINT) AS low FROM sims),
+    s AS (SELECT seq, ({_HALF('high')}) * CAST('18446744073709551616' AS UHUGEINT) + ({_HALF('low')}) AS seed FROM h) SELECT seq, {_DIGITS} AS id FROM s"""
+)
 def base62_id(spark, d):
     return S.sims(spark, d).select("seq", bytewise.object_id(c("lat"), c("lon")).alias("id"))
 
@@ -442,10 +452,15 @@ _NUMBER = "regexp_replace(regexp_replace(printf('%.6f', {0}), '0+$', ''), '\\.$'
 
 @query(
     f"""WITH {S.PLACEMENTS}, t AS (SELECT tile, round_even(avg(lat), 6) AS lat, round_even(avg(lon), 6) AS lon, round_even(avg(alt), 6) AS alt FROM placements GROUP BY tile)
-    SELECT tile, 'OBJECT_STATIC ' || tile || '.gltf ' || {_NUMBER.format('lon')} || ' ' || {_NUMBER.format('lat')} || ' ' || {_NUMBER.format('alt')} || ' 270 0 90' AS line FROM t"""
+    SELECT tile, 'OBJECT_STATIC ' || tile || CASE WHEN tile % 2 = 0 THEN '.xml ' ELSE '.gltf ' END || {_NUMBER.format('lon')} || ' ' || {_NUMBER.format('lat')} || ' ' || {_NUMBER.format('alt')} || CASE WHEN tile % 2 = 0 THEN ' 0 0 90' ELSE ' 270 0 90' END AS line FROM t"""
 )
 def scene_line(spark, d):
     t = S.placements(spark, d).groupBy("tile").agg(*[F.bround(F.avg(x), 6).alias(x) for x in ("lat", "lon", "alt")])
-    return t.select("tile", F.format_string("OBJECT_STATIC %d.gltf %s %s %s 270 0 90", "tile", *[scalars.number_text(c(x)) for x in ("lon", "lat", "alt")]).alias("line"))
+    return t.select("tile", sinks.placement_line(c("tile"), c("lon"), c("lat"), c("alt"), animated=c("tile") % 2 == 0).alias("line"))
+
 
+from . import documents, encoded  # noqa: E402  more queries, that add themselves
 
+for _more in (documents, encoded):
+    QUERIES |= _more.QUERIES
+    ORACLE |= _more.ORACLE

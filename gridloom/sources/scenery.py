@@ -144,7 +144,8 @@ def text_scenes(spark: SparkSession, root: str) -> DataFrame:
 
 def model_info(chunks: DataFrame) -> DataFrame:
     """file, guid, offset, name, lods (file, min_size) of the XML chunks; sizes that aren't numbers are left out."""
-    xml = chunks.where("chunk = 'GXML'").withColumn("xml", F.decode("data", "UTF-8"))
+    # The condition stands in the column too: filters that Spark infers may read it before the rows are chosen.
+    xml = chunks.where("chunk = 'GXML'").withColumn("xml", F.when(F.col("chunk") == "GXML", F.decode("data", "UTF-8")))
     name = F.coalesce(F.nullif(F.xpath_string("xml", F.lit("//ModelInfo/@name")), F.lit("")), F.lit("Unnamed_Model"))
     lods = F.arrays_zip(F.xpath("xml", F.lit("//LOD/@ModelFile")).alias("file"), F.xpath("xml", F.lit("//LOD/@minSize")).alias("min_size"))
     sized = F.filter(F.transform(lods, lambda x: F.struct(F.replace(x["file"], F.lit(".gltf"), F.lit("")).alias("file"), x["min_size"].try_cast("int").alias("min_size"))), lambda x: x["min_size"].isNotNull())
@@ -194,8 +195,13 @@ def terrain_triangles(meshes: DataFrame, vertices: DataFrame) -> DataFrame:
 def sim_configs(spark: SparkSession, root: str) -> DataFrame:
     """path, title, model, texture of every block of the sim.cfg files under root."""
     found = files(spark, root, "cfg").where(F.lower(scalars.file_name(F.col("path"))) == "sim.cfg").select("path", F.decode("content", "UTF-8").alias("text"))
+    return config_blocks(found)
+
+
+def config_blocks(texts: DataFrame) -> DataFrame:
+    """path, title, model, texture of every block of the texts (path, text): title, then model and texture, where given."""
     block = r"(?i)title=[^\r\n]*\r?\n(?:model=[^\r\n]*\r?\n)?(?:texture=[^\r\n]*)?"
-    blocks = found.select("path", F.explode(F.regexp_extract_all("text", F.lit(block), F.lit(0))).alias("b"))
+    blocks = texts.select("path", F.explode(F.regexp_extract_all("text", F.lit(block), F.lit(0))).alias("b"))
     return config_values(blocks, "b")
 
 
