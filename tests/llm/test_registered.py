@@ -4,14 +4,15 @@ import hashlib
 import zlib
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from test_text_operators import brute_components, brute_overlaps
+from test_text_operators import brute_components, brute_near, brute_overlaps, greedy_phrases
 
 import __spark_entry__
 import corpus_pipeline
-from gridloom.llm import common, quality, simhash
+from gridloom.llm import common, langid, quality, simhash, toxicity
 from gridloom.llm.queries import GOOD_AT, ORACLE, QUERIES, tokenizer
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -40,7 +41,7 @@ def test_all_are_registered():
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     def rows(df):
         plain = lambda v: None if pd.isna(v) else int(v) if isinstance(v, float) else v
@@ -104,6 +105,53 @@ def test_languages(spark):
     assert len(got) == len(lang) and got.score.between(0, 1).all() and (x.lang_pred == x.lang)[x.held_out].mean() >= 0.98
 
 
+def test_languages_against_plain_parsing(spark):
+    """The query's predictions and scores from greedy longest matches over plain strings."""
+    fold = common.fold(F.col("doc_id"), 3)
+    frame = common.table(spark, SMALL, "documents")
+    d = frame.where((fold != 1) & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.xxhash64("doc_id").alias("h")).toPandas().sort_values("h")
+    samples = {lang: [t[: langid.CHARS] for t in g.text[: langid.ROWS]] for lang, g in d.groupby("lang")}
+    model = langid.build(samples)
+    encoder, source = model.encoder(), {}
+    codes = lambda t: "".join(chr(x + 97) for x in langid.squeeze(encoder[langid.code_points(t)]).tolist())
+    for lang, texts in samples.items():
+        kept, total = [], 0
+        for t in texts:
+            if total < langid.CHARS:
+                kept.append(t[: langid.CHARS - total])
+                total += len(kept[-1])
+        source[lang] = "a".join(codes(t) for t in kept) + "a"
+        while "aa" in source[lang]:
+            source[lang] = source[lang].replace("aa", "a")
+    got = {r.doc_id: r for r in QUERIES["op10_language_id"](spark, SMALL).collect()}
+    some = read(SMALL, "documents")
+    for r in some[some.text.str.len() < 3000].itertuples():
+        if not codes(r.text).strip("a"):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        entropy = sorted((greedy_phrases(codes(r.text), s) * float(np.log2(len(s))), lang) for lang, s in source.items())
+        assert got[r.doc_id].lang_pred == entropy[0][1] and got[r.doc_id].score == pytest.approx(entropy[1][0] / (entropy[0][0] + entropy[1][0]))
+
+
+def test_votes_and_toxicity_against_plain_sums(spark):
+    docs, labels = common.table(spark, SMALL, "documents"), common.table(spark, SMALL, "labels")
+    texts = read(SMALL, "documents").set_index("doc_id").text
+    model, counts = quality.train(docs, labels, common.fold(F.col("doc_id"), 5) != 0), quality.Counts()
+    got = {r.doc_id: r.score for r in QUERIES["op7_quality"](spark, SMALL).collect()}
+    for i, t in texts.items():
+        x = np.zeros(model.axes.shape[1])
+        for b, n in zip(*counts(t)):
+            x += (1 + np.log(n)) * model.idf[b] * (quality.SHAPE_WEIGHT if b >= quality.BUCKETS else 1) * model.axes[b]
+        near = sorted(((float(x @ v) / max(np.linalg.norm(x), 1e-12), k) for v, k in zip(model.vectors, model.labels)), reverse=True)[: quality.NEIGHBOURS]
+        w = [max(cos, 0) for cos, _ in near]
+        assert got[i] == pytest.approx(sum(a * k for a, (_, k) in zip(w, near)) / sum(w) if sum(w) else model.prior, abs=2e-3)
+    model, features = toxicity.train(docs, labels, common.fold(F.col("doc_id"), 3) != 1), toxicity.Features()
+    got = {r.doc_id: r.score for r in QUERIES["op1_toxicity"](spark, SMALL).collect()}
+    for i, t in texts.items():
+        z = model.bias + sum(float(model.weight[f]) * float(v) for f, v in zip(*features.of(t)))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
 def test_pipeline(spark):
     """Every stage against brute force; the classifier's own scores decide in both."""
     sf, docs = SMALL, read(SMALL, "documents").set_index("doc_id")
@@ -111,8 +159,8 @@ def test_pipeline(spark):
     model, counts = quality.train(frame, common.table(spark, sf, "labels"), F.lit(True)), quality.Counts()
     kept = docs[[s >= GOOD_AT for s in model.scores([counts(t) for t in docs.text])]]
     kept = kept.groupby(kept.text.str.replace(r"[\x20\x09-\x0D]+", " ", regex=True)).apply(lambda g: g.loc[[g.index.min()]]).droplevel(0)
-    roots = brute_components({i: simhash.majority(simhash.shingle_hashes(t, 4)) for i, t in kept.text.items()}, 4)
-    kept = kept[[roots[i] == i for i in kept.index]]
+    kept = kept.sort_index()
+    kept = kept[[i == r for i, r in enumerate(brute_near(kept.text.tolist()))]]
     items = read(sf, "benchmark").text.tolist()
     leaks = {i for i, _ in brute_overlaps(kept.text.tolist(), items)}
     kept = kept[[i not in leaks for i in range(len(kept))]]
@@ -130,3 +178,14 @@ def test_stages_take_odd_documents(spark):
             out = stage(spark, d, SMALL)
             assert name == "byte_bpe" or out.columns == docs.columns
             assert out.count() <= d.count()
+
+
+def test_exact_copies_go_row_by_row(spark):
+    rows = [(1, "same", "en", "s", 1), (1, "same", "en", "s", 1), (2, "same", "en", "s", 1), (2, "unique", "en", "s", 1), (None, "same", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_exact_copies(spark, docs, SMALL).collect()) == [(1, "same"), (2, "unique")]
+    near = corpus_pipeline.drop_near_copies(spark, docs, SMALL)
+    assert sorted((r.doc_id, r.text) for r in near.collect()) == [(1, "same"), (2, "unique")]
+    item = common.table(spark, SMALL, "benchmark").first().text
+    leaks = spark.createDataFrame([(1, f"a b c {item} d", "en", "s", 1), (1, "clean words", "en", "s", 1), (None, item, "en", "s", 1), (None, "clean too", "en", "s", 1)], docs.schema)
+    assert {r.text for r in corpus_pipeline.drop_contaminated(spark, leaks, SMALL).collect()} == {"clean words", "clean too"}
