@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, SPACES, discard, new_path, staged, text_or_empty, with_rows
+from .common import ROW, SPACES, discard, new_path, staged, text_or_empty, with_rows, without_rows
 
 #: Digests (about 50 bytes each) that a bucket is meant to hold, and the least number of buckets.
 BUCKET_ROWS, BUCKETS = 4_000_000, 16
@@ -144,4 +144,4 @@ def distinct_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     index = DigestIndex(docs.sparkSession)
     found = index.ingest(rows, key, text, row=ROW)
     index.drop()
-    return rows.join(found.where("kept").select(ROW), ROW, "left_semi").drop(ROW)
+    return without_rows(rows, staged(found.where("not kept").select(ROW), "copies"))  # where they are proven few, no text moves

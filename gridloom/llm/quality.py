@@ -107,19 +107,33 @@ def weights(ids: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def latent(rows: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, rank: int, seed: int = 11, rounds: int = 3) -> np.ndarray:
-    """The leading right singular vectors of the weighted rows (unit length), by randomised subspace iteration."""
+    """The leading right singular vectors of the weighted rows (unit length), by randomised subspace iteration.
+
+    The rows stay sparse: memory is that of a few matrices of used buckets x rank.
+    """
     used = np.unique(np.concatenate([ids for ids, _ in rows])) if rows else np.empty(0, np.int64)
-    dense = np.zeros((len(rows), len(used)), np.float32)
-    for i, (ids, n) in enumerate(rows):
-        np.add.at(dense[i], np.searchsorted(used, ids), weights(ids, n, idf))
-    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
-    rank = min(rank, *dense.shape) if dense.size else 0
+    sparse = []
+    for ids, n in rows:
+        at, place = np.unique(np.searchsorted(used, ids), return_inverse=True)
+        w = np.bincount(place, weights(ids, n, idf), len(at)).astype(np.float32)
+        sparse.append((at, w / max(float(np.linalg.norm(w)), 1e-12)))
+    rank = min(rank, len(rows), len(used))
     axes = np.zeros((BUCKETS + SHAPES, max(rank, 1)), np.float32)
+
+    def times(q):
+        return np.stack([w @ q[at] for at, w in sparse])
+
+    def back(y):
+        out = np.zeros((len(used), y.shape[1]), np.float32)
+        for (at, w), row in zip(sparse, y):
+            out[at] += np.outer(w, row)
+        return out
+
     if rank:
         q = np.random.default_rng(seed).standard_normal((len(used), min(rank + 8, len(used)))).astype(np.float32)
         for _ in range(rounds):
-            q = np.linalg.qr(dense.T @ (dense @ q))[0]
-        axes[used] = (q @ np.linalg.svd(dense @ q, full_matrices=False)[2].T)[:, :rank]
+            q = np.linalg.qr(back(times(q)))[0]
+        axes[used] = (q @ np.linalg.svd(times(q), full_matrices=False)[2].T)[:, :rank]
     return axes
 
 
