@@ -121,7 +121,7 @@ def model_directory(b: bytes, first_only: bool = True, plain: bool = False, base
                 count += 1
 
 
-# Airport records: names and codes of their fields in order. Codes: struct letters; ll position, alt and mil thousandths,
+# Names and codes of the fields of airport records, in their order. Codes: struct letters; ll position, alt and mil thousandths,
 # ang a 32-bit angle, id an identifier, g a guid, rgba four bytes, a number bytes to skip.
 RECORDS: dict[int, tuple[str, int, str]] = {
     0x19: ("name", 6, "name:text"),
