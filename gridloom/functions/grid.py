@@ -6,8 +6,6 @@ A tile key packs, from the high bits, the whole degree west edge + 180 (bits 14
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,7 +25,13 @@ def latitude(raw: Column) -> Column:
 
 
 def tile_width(absolute_latitude: Column) -> Column:
-    return reduce(lambda case, w: case.when(absolute_latitude >= w[0], w[1]), WIDTHS[1:], F.when(absolute_latitude >= WIDTHS[0][0], WIDTHS[0][1]))
+    """Width of the tiles at a latitude; null beyond 90.
+
+    The bands begin at whole degrees, so the width is looked up by the whole degree: one step of generated code, where a
+    chain of conditions would make methods too long for the JVM to compile.
+    """
+    by_degree = [next(width for least, width in WIDTHS if degree >= least) for degree in range(91)]
+    return F.get(F.array(*[F.lit(w) for w in by_degree]), F.floor(absolute_latitude).cast("int"))
 
 
 def tile_key(lat: Column, lon: Column) -> Column:

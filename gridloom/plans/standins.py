@@ -17,7 +17,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def placed(df: DataFrame) -> DataFrame:
     df = df.withColumns({"lon": grid.longitude(F.col("lon_raw")), "lat": grid.latitude(F.col("lat_raw"))})
-    return df.withColumn("tile", grid.tile_key(F.col("lat"), F.col("lon")))
+    # Positions are never null here; saying so spares joins on the tile a filter that computes it once more.
+    return df.withColumn("tile", F.coalesce(grid.tile_key(F.col("lat"), F.col("lon")), F.lit(0)))
 
 
 def placements(spark: SparkSession, d: str) -> DataFrame:

@@ -54,7 +54,7 @@ def decoded(found: DataFrame, rows, schema: str) -> DataFrame:
 def objects(found: DataFrame) -> DataFrame:
     """Placements and sim objects, with tile and flag labels; those inside of jetways too."""
     out = decoded(found, decode.objects, OBJECTS)
-    return out.withColumns({"tile": grid.tile_key(F.col("lat"), F.col("lon")), "flag_labels": scalars.flag_labels(F.col("flags"))})
+    return out.withColumns({"tile": F.coalesce(grid.tile_key(F.col("lat"), F.col("lon")), F.lit(0)), "flag_labels": scalars.flag_labels(F.col("flags"))})
 
 
 def model_directory(found: DataFrame, first_only: bool = True, plain: bool = False, base: int | None = None) -> DataFrame:
