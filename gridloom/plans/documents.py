@@ -125,9 +125,9 @@ def first_named_node(spark, d):
 def merged_materials(spark, d):
     """Materials of a document that look alike are one, the default is 0; surfaces refer to the merged ones."""
     part = S.read(spark, d, "part")
-    default = part.agg(F.min("p_type").alias("plain"))
-    looks = part.select(c("p_brand").alias("doc"), c("p_partkey").alias("seq"), c("p_type").alias("look")).join(F.broadcast(default.withColumn("one", F.lit(1))), F.lit(1) == c("one"))
-    ids = scene.merged_ids(looks, "doc", c("look"), "seq", c("plain"))
+    plain = F.lit(part.agg(F.min("p_type")).first()[0]).cast("string")
+    looks = part.select(c("p_brand").alias("doc"), c("p_partkey").alias("seq"), c("p_type").alias("look"))
+    ids = scene.merged_ids(looks, "doc", c("look"), "seq", F.coalesce(plain, F.lit("")))
     surfaces = part.select(c("p_brand").alias("doc"), c("p_partkey").alias("surface"), (c("p_partkey") + 1).alias("material"))
     return scene.remapped(surfaces, ids.withColumnRenamed("seq", "material"), ["doc"]).select("doc", "surface", c("material").cast("bigint").alias("material"))
 
