@@ -71,17 +71,18 @@ def convert(spark: SparkSession, root: str, out: str, kind: str = "gltf", terrai
     every = placements.model_instances(directory.withColumnRenamed("file", "m_file").withColumnRenamed("offset", "m_offset"), placed)
     every = every.join(of_model, ["m_file", "guid", "m_offset"])
     instances = kept(assembly.tile_instances(every, F.concat_ws("#", "file", F.lpad(F.col("offset").cast("string"), 12, "0")), F.col("model")), f"{out}/work/instances")
-    made = kept(assembly.documents(instances, models), f"{out}/work/documents")
+    made = kept(assembly.pieces(instances, models), f"{out}/work/documents")
     if kind == "gltf":
-        assembly.write_tiles(made, f"{out}/scenes")
+        assembly.write_pieces(made, f"{out}/scenes")
         assembly.write_buffers(models, f"{out}/buffers")
     else:
         uses = assembly.numbered_models(instances, assembly.counted(models))
-        text = assembly.ac_documents(tile_scenes(made, uses, models), ["tile"], F.concat(F.lit("Tile_"), F.col("tile").cast("string")))
+        text = assembly.ac_documents(tile_scenes(assembly.whole(made), uses, models), ["tile"], F.concat(F.lit("Tile_"), F.col("tile").cast("string")))
         assembly.write_tiles(text.withColumnRenamed("text", "document"), f"{out}/scenes")
-    tiles = placements.centroids(placed).join(made.select("tile"), "tile", "left_semi")
+    written = made.where("part = 0").select("tile")
+    tiles = placements.centroids(placed).join(written, "tile", "left_semi")
     sinks.write_placements(tiles, f"{out}/placements", kind)
     unused = kept(placements.unused(placed, directory, F.struct("file", "offset")), f"{out}/unused")
-    counts |= {"models": models.count(), "tiles": made.count(), "unused": unused.count()}
+    counts |= {"models": models.count(), "tiles": written.count(), "unused": unused.count()}
     log.info("%d models in %d tiles; %d placed models are missing", counts["models"], counts["tiles"], counts["unused"])
     return counts

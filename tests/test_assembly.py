@@ -85,6 +85,23 @@ def test_tile_documents(spark, scenes, tmp_path):
     assert assembly.documents(instances.limit(0), models).count() == 0
 
 
+def test_pieces_of_tiles(spark, scenes, tmp_path):
+    """No row holds a tile; the pieces, written in their order, are the document."""
+    models = assembly.fragments(scenes, F.col("doc"))
+    places = [IDENTITY[:12] + [float(i), 0.0, 0.0, 1.0] for i in range(500)]
+    rows = [(tile, "ab"[i % 2], 50 + i % 2, f"{i:03}", f"n{i}", places[i], None) for tile in (5, 942050) for i in range(500)]
+    instances = spark.createDataFrame(rows, "tile int, model string, size int, seq string, name string, matrix array<double>, prefix string").repartition(7)
+    made = assembly.pieces(instances, models)
+    assert made.agg(F.max(F.length("text"))).first()[0] < 5000 and made.where("list = 'nodes'").count() == 1000
+    assembly.write_pieces(made, f"{tmp_path}/tiles")
+    back = {r.tile: json.loads(r.value) for r in spark.read.text(f"{tmp_path}/tiles").collect()}
+    assert back == {r.tile: json.loads(r.document) for r in assembly.documents(instances, models).collect()} and set(back) == {5, 942050}
+    buffers = {f"{r.model}.bin": bytes(r.bin) for r in models.collect()}
+    for document in back.values():
+        assert check(document, buffers)["nodes"] == 2000 and len(document["scenes"][0]["nodes"]) == 500
+        assert [document["nodes"][i]["matrix"][12] for i in document["scenes"][0]["nodes"]] == [*range(1, 500, 2), *range(0, 500, 2)]
+
+
 def test_placed_models_become_a_scene(spark, scenes):
     p = spark.createDataFrame([("a", 1, -122.4, 37.6, 3.0, 90.0, 942050), ("a", 2, -122.41, 37.61, 4.0, 0.0, 942050)], "guid string, n int, lon double, lat double, alt double, heading double, tile int").withColumns({"pitch": F.lit(0.0), "bank": F.lit(0.0), "scale": F.lit(2.0)})
     refs = placements.model_refs(spark.createDataFrame([("a", 9, "f")], "guid string, size int, file string"), p)
