@@ -304,13 +304,113 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
+# Similar texts. A similarity of 0.8 moves 15 of 100 bits of a fingerprint, in sets of five shingles up to 19.
+# Two words of the fingerprint are the partitions of the pigeonhole: up to 42 of their 128 bits, so 21 in the first or 20
+# in the second; then up to 76 of all 256. By the binomial distribution, a pair at exactly 0.8 is missed with a chance of
+# 3e-7 (15 %), at the most 6e-5 (19 %), and of unlike pairs 1e-10 are left to the exact check.
+WIDE, THRESHOLDS, RADIUS = 4, (21, 20), 76
+#: Sizes of linked sets differ by up to 1.25, so they are of one zone or of two that meet.
+ZONE = 1.26
+#: Pools of more classes are split into blocks, and pairs of blocks are searched by separate tasks.
+POOL = 65536
+
+
+def wide_fingerprint(h: np.ndarray) -> list[int]:
+    """WIDE SimHashes of a set of hashes, the second to last ones of hashes mixed anew."""
+    out = [majority(h)]
+    for i in range(1, WIDE):
+        x = h + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(majority(x ^ (x >> np.uint64(31))))
+    return out
+
+
+def near_in_size(size: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """For sets in order of size: index of the first member of each one's component of candidates. words: WIDE x n."""
+    n, label, at = len(size), np.arange(len(size)), np.arange(len(size))
+    while len(at) > 1:
+        front, seed = [(size[0], words[:, 0])], at[0]
+        at, size, words = at[1:], size[1:], words[:, 1:]
+        while front and len(at):
+            own, w = front.pop()
+            low, high = np.searchsorted(size, -(-4 * own // 5)), np.searchsorted(size, 5 * own // 4, "right")
+            some = words[:, low:high]
+            hit = np.flatnonzero((np.bitwise_count(some[0] ^ w[0]) <= THRESHOLDS[0]) | (np.bitwise_count(some[1] ^ w[1]) <= THRESHOLDS[1]))
+            if hit.size:
+                d = np.bitwise_count(some[:, hit] ^ w[:, None]).astype(np.int64)
+                hit = low + hit[(d[0] + d[1] <= sum(THRESHOLDS) + 1) & (d.sum(0) <= RADIUS)]
+            if hit.size:
+                label[at[hit]] = seed
+                front += [(size[i], words[:, i].copy()) for i in hit.tolist()]
+                rest = np.ones(len(at), bool)
+                rest[hit] = False
+                at, size, words = at[rest], size[rest], words[:, rest]
+    return label
+
+
+def near_candidates(reps: DataFrame) -> DataFrame:
+    """Pairs a, b of classes that connect all whose fingerprints are near and whose sizes allow a similarity of 0.8.
+
+    reps: cls, size, words. A pool holds two zones of sizes that meet; at this radius no key of bits is selective, so
+    that all fingerprints of a pool which are near in size are compared.
+    """
+    zoned = reps.where("size > 0").select("cls", "size", "words", F.floor(F.log("size") / math.log(ZONE)).cast("int").alias("zone"))
+    pooled = zoned.select("cls", "size", "words", F.explode(F.array(F.col("zone") - 1, F.col("zone"))).alias("pool"))
+    blocks = pooled.groupBy("pool").agg(F.ceil(F.count("*") / POOL).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("cls"), "blocks").cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.least("own", other) * F.col("blocks") + F.greatest("own", other))
+    dealt = pooled.join(F.broadcast(blocks), "pool").withColumn("own", own).select("pool", F.explode(pairs).alias("pair"), "cls", "size", "words")
+    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(n, "pool", "pair").sortWithinPartitions("pool", "pair", "size")
+
+    def run(batches):
+        task, held = None, []
+        for batch in batches:
+            now = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)] + list(batch.column(4).flatten().to_numpy().reshape(-1, WIDE).T))
+            cuts = np.flatnonzero((now[:2, 1:] != now[:2, :-1]).any(0)) + 1
+            for part in np.split(now, cuts, axis=1):
+                if part.shape[1]:
+                    if task != tuple(part[:2, 0]):  # the last task may go on in the next batch
+                        yield from found(held)
+                        task, held = tuple(part[:2, 0]), []
+                    held.append(part)
+        yield from found(held)
+
+    def found(held):
+        if held:
+            rows = np.concatenate(held, 1)
+            label = near_in_size(rows[3], np.ascontiguousarray(rows[4:]).view(np.uint64))
+            i = np.flatnonzero(label != np.arange(len(label)))
+            yield pa.RecordBatch.from_arrays([pa.array(rows[2][i]), pa.array(rows[2][label[i]])], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
 def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
     """key, component_id (the smallest key that links reach) for each row; links: Jaccard similarity 0.8 or more.
 
-    Fingerprints can't propose these links: 0.8 moves 10 of 64 bits, up to 16 in one pair of a hundred, and no partition
-    is selective at such a radius. So the candidates come from min-wise keys of the same shingles, and each is checked
-    exactly; see minhash.near_copies, whose cases hold here too.
+    Candidates come from SimHash fingerprints of the sets of shingles by the generalised pigeonhole; each component of
+    candidates is then checked exactly. For odd texts and keys what minhash.near_copies says holds here too.
     """
-    from .minhash import near_copies
+    from . import minhash
+
+    kind, texts = docs.schema[key].dataType.simpleString(), docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
-    return near_copies(docs, key, text, k)
+    def run(batches):
+        for batch in batches:
+            found = [minhash.shingle_set(t, k) for t in batch.column(1).to_pylist()]
+            words = np.array([wide_fingerprint(s) for s in found], np.uint64).reshape(-1, WIDE).view(np.int64)
+            cls = pa.array([minhash.class_of(s) for s in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), cls, pa.array([len(s) for s in found], pa.int64()), pa.array(words.tolist(), pa.list_(pa.int64()))], ["key", "cls", "size", "words"])
+
+    rows = staged(texts.mapInArrow(run, f"key {kind}, cls bigint, size bigint, words array<bigint>"), "fingerprints")
+    reps = staged(rows.groupBy("cls").agg(F.min("key").alias("first"), F.any_value("size").alias("size"), F.any_value("words").alias("words")), "classes")
+    spread = connected(staged(near_candidates(reps), "near"))  # a root is no node of its own
+    near = staged(spread.unionByName(spread.select(F.col("root").alias("node"), "root").distinct()), "groups")
+    sizes = near.groupBy("root").agg(F.ceil(F.count("*") / minhash.BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.least("own", other) * F.col("blocks") + F.greatest("own", other))
+    groups = near.join(sizes, "root").withColumn("own", own).select("root", F.col("node").alias("cls"), F.explode(pairs).alias("pair")).select(F.xxhash64("root", "pair").alias("group"), "cls")
+    firsts = reps.join(near.select(F.col("node").alias("cls")), "cls").select("first")
+    return minhash.components(rows, reps, staged(minhash.verified(groups, firsts, texts, k), "links"), key)

@@ -216,6 +216,21 @@ def test_near_copies(spark, monkeypatch, short, block):
     assert minhash.near_copies(docs(spark, [])).count() == 0
 
 
+def test_similar_texts_come_from_fingerprints(spark, monkeypatch):
+    """SimHash proposes the pairs, MinHash bands aren't asked; pools in blocks lose none."""
+    monkeypatch.setattr(minhash, "links", None)
+    monkeypatch.setattr(minhash, "band_keys", None)
+    monkeypatch.setattr(simhash, "POOL", 30)
+    rng, texts = random.Random(5), list(ODD)
+    for n in (8, 9, 13, 24, 60, 150, 300):
+        base = [f"w{rng.randrange(9999)}" for _ in range(n)]
+        for c in range(8):  # truncated to just above and below the threshold, at either end
+            texts += [" ".join(base[: n - c * n // 30]), " ".join(base[c * n // 30 :])]
+    want = brute_near(texts)
+    assert {r.doc_id: r.component_id for r in simhash.similar_texts(docs(spark, texts)).collect()} == dict(enumerate(want))
+    assert len(set(want)) < len(want) - 60
+
+
 # Benchmark decontamination
 
 
